@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_density import extract_pages
+from .jaccard_join import similar_components
 from .language_crf import fit_languages, predict_languages
 from .quality_repetition import MAX_COVERED, MAX_LONGEST, MIN_WORDS, repetition_rules
 from .token_counts import token_counts
@@ -39,12 +40,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs, fit_languages(docs))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(_table(spark, sf_dir, "documents"), k=3, percent=90, lower=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op3_html_text": op3_html_text,
     "op4_warc": op4_warc,
     "op8_token_counts": op8_token_counts,
     "op9_language": op9_language,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -85,4 +91,16 @@ q AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to, url
 FROM q""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE d AS (
+  SELECT rid, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents)),
+s AS (SELECT DISTINCT rid, md5(array_to_string(w[p : p + 2], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS p FROM d)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+pairs AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.rid < b.rid GROUP BY ALL),
+linked AS (SELECT x, y FROM pairs JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(rid, r) AS (SELECT rid, rid FROM d UNION SELECT reach.rid, y FROM reach JOIN both_ways ON x = r)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id
+FROM d JOIN reach USING (rid) JOIN d e ON e.rid = reach.r LEFT JOIN n ON n.rid = d.rid GROUP BY d.rid, d.doc_id""",
 }
