@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_density import extract_pages
 from .jaccard_join import similar_components
 from .language_crf import fit_languages, predict_languages
+from .phrase_dedup import WIDTH, kept_digest, repeat_spans
 from .quality_repetition import MAX_COVERED, MAX_LONGEST, MIN_WORDS, repetition_rules
 from .token_counts import token_counts
 from .warc import captures
@@ -31,6 +32,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(_table(spark, sf_dir, "pages"))
 
 
+def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeat_spans(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", kept_digest(rows["kept"]).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op3_html_text": op3_html_text,
     "op4_warc": op4_warc,
+    "op7_phrase_dedup": op7_phrase_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_language": op9_language,
     "op10_jaccard_join": op10_jaccard_join,
@@ -103,4 +110,15 @@ both_ways AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
 reach(rid, r) AS (SELECT rid, rid FROM d UNION SELECT reach.rid, y FROM reach JOIN both_ways ON x = r)
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id
 FROM d JOIN reach USING (rid) JOIN d e ON e.rid = reach.r LEFT JOIN n ON n.rid = d.rid GROUP BY d.rid, d.doc_id""",
+    "op7_phrase_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+starts AS (SELECT rid, unnest(range(1, greatest(len(w) - {WIDTH} + 2, 1))) AS p, w FROM d),
+hashed AS (SELECT rid, p, md5(array_to_string(w[p : p + {WIDTH} - 1], ' ')) AS h FROM starts),
+twice AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY h) AS c FROM hashed) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + {WIDTH})) AS p FROM twice),
+left_over AS (
+  SELECT rid, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (rid)""",
 }
