@@ -43,6 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom_of, passing
 from .components import connected_components
 from .shared import written
 from .words import MIX2, inside, scramble, slices, split, windows
@@ -51,8 +52,6 @@ from .words import MIX2, inside, scramble, slices, split, windows
 BLOCK = 8 << 20
 #: Tokens verified in one task; components of more are verified as pairs of blocks of half that.
 TOKENS = 4_000_000
-#: Bits of the Bloom filter, 2 MB whatever the input.
-BLOOM = 24
 
 
 def bands(p: int, most: int) -> np.ndarray:
@@ -291,27 +290,6 @@ def verify(p: int):
     return run
 
 
-def _bloom_places(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = scramble(node.view(np.uint64))
-    return (h >> np.uint64(64 - BLOOM)).astype(np.int64), (h & np.uint64((1 << BLOOM) - 1)).astype(np.int64)
-
-
-def bloom_of(nodes: DataFrame) -> np.ndarray:
-    """Bit array of 2**BLOOM bits, as bytes, of a column of nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(np.concatenate(_bloom_places(b.column(0).to_numpy())))
-            word, first = np.unique(at >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    rows = nodes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (BLOOM - 6), np.uint64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def candidate_sets(docs: DataFrame, text_col: str, k: int, lower: bool, bloom: np.ndarray) -> DataFrame:
     """(node, tokens) of the sets that the filter lets pass, at least once each."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
@@ -320,9 +298,7 @@ def candidate_sets(docs: DataFrame, text_col: str, k: int, lower: bool, bloom: n
         for b in slices(batches, text_col, BLOCK):
             tokens, offsets = shingle_sets(b.column(0), k, lower)
             ids, first = np.unique(set_ids(tokens, offsets), return_index=True)
-            one, two = _bloom_places(ids)
-            hit = lambda at: (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            at = np.flatnonzero(hit(one) & hit(two) & (ids != 0))
+            at = np.flatnonzero(passing(sent.value, ids) & (ids != 0))
             for a in range(0, len(at), 500):
                 part = at[a : a + 500]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array([tokens[offsets[i] : offsets[i + 1]].tobytes() for i in first[part]], pa.binary())], ["node", "tokens"])

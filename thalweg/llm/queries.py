@@ -12,6 +12,7 @@ from .language_crf import fit_languages, predict_languages
 from .phrase_dedup import WIDTH, kept_digest, repeat_spans
 from .quality_repetition import MAX_COVERED, MAX_LONGEST, MIN_WORDS, repetition_rules
 from .token_counts import token_counts
+from .toxicity_kn import fit_toxicity, score_toxicity
 from .warc import captures
 
 
@@ -24,6 +25,11 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -52,6 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
+    "op2_toxicity": op2_toxicity,
     "op3_html_text": op3_html_text,
     "op4_warc": op4_warc,
     "op7_phrase_dedup": op7_phrase_dedup,
