@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .html_density import extract_pages
 from .jaccard_join import similar_components
 from .language_crf import fit_languages, predict_languages
+from .packing import pack_documents
 from .phrase_dedup import WIDTH, kept_digest, repeat_spans
 from .quality_repetition import MAX_COVERED, MAX_LONGEST, MIN_WORDS, repetition_rules
 from .token_counts import token_counts
@@ -38,6 +40,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(_table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeat_spans(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", kept_digest(rows["kept"]).alias("kept_sha256"))
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_html_text": op3_html_text,
     "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
+    "op6_best_fit": op6_best_fit,
     "op7_phrase_dedup": op7_phrase_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_language": op9_language,
