@@ -105,6 +105,8 @@ def signatures(tokens: np.ndarray, offsets: np.ndarray, p: int) -> tuple[np.ndar
             band = own + shift
             lowest = np.where(band > 0, ends[np.maximum(band - 1, 0)] + 1, 1)
             takes = np.flatnonzero((size > 0) & (100 * size >= p * lowest)) if shift else np.flatnonzero(size > 0)
+            if not len(takes):
+                continue
             segments = (100 - p) * 2 * ends[band] // (100 + p) + 1
             count = segments[takes]
             start = np.cumsum(count) - count
@@ -342,3 +344,33 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = named.join(ends, "g").select("node", "component_id")
     out = rows.join(named, "node", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """All columns of one row of each group of linked rows, that of smallest identifier (null last, ties by row).
+
+    Rows without words are linked with nothing and stay. ``docs`` must be read from files, for rows are
+    told apart by their numbers in the reading, which are the same each time. A Bloom filter
+    of the numbers that go lets most rows that stay through without a shuffle of their texts.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("row", F.monotonically_increasing_id())
+    found, linked = links(rows, "row", names[text_col], k, percent, lower)
+    roots = connected_components(linked, "linked")
+    member = found.where("node is not null").join(roots, "node", "left").select(F.col("doc").alias("row"), F.coalesce("root", "node").alias("g"))
+    member = member.join(rows.select("row", F.col(names[id_col]).alias("id")), "row")
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))
+    first = member.groupBy("g").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = written(member.join(first, "g").where(F.col("row") != F.col("first.row")).select("row"), "gone")
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(gone))
+
+    def side(suspect: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = passing(sent.value, b.column("row").to_numpy())
+                yield b.filter(pa.array(hit if suspect else ~hit))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    kept = side(False).unionByName(side(True).join(gone, "row", "left_anti"))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
