@@ -174,7 +174,7 @@ def _scanned(docs: DataFrame, text_col: str, width: int, gram: int, finish, sche
         words = text(table)
         whole = inside(words, width)
         keys = anchor_places(words.hashes(), whole, width, gram) if len(whole) else np.zeros(0, np.uint64)
-        return _table(pack(table.column("shard")[0].as_py(), keys, n), _PACKED)
+        return _table(pack(table.column("shard")[0].as_py(), keys, parts), _PACKED)
 
     def confirm(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -186,7 +186,7 @@ def _scanned(docs: DataFrame, text_col: str, width: int, gram: int, finish, sche
             at = np.flatnonzero(whole)
             at = at[among(anchors(h, whole, width, gram)[at], answer)]
             keys = windows(h, width)[at]
-        return _table(pack(table.column("shard")[0].as_py(), keys, n), _PACKED)
+        return _table(pack(table.column("shard")[0].as_py(), keys, parts), _PACKED)
 
     def locate(table: pa.Table, answer: pa.Table) -> pa.Table:
         words = text(table)
