@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.special import chi2_sf, ndtr, t_two_sided
 
@@ -57,7 +58,7 @@ def effective_n(n: Column, a: Column, b: Column, low: float = 3.0) -> Column:
     return F.greatest(F.lit(low), F.least(n.cast("double"), n * (1 - ab) / (1 + ab)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_of_r(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation with (effective) n."""
     r, n = r.to_numpy(float), n.to_numpy(float)
@@ -140,13 +141,13 @@ def kruskal(df: DataFrame, group: str, value: str, keys: tuple[str, ...] = (), l
     return out.select(*keys, "n", "k", h.alias("h"), F.greatest(F.lit(0.0), F.try_divide(h - F.col("k") + 1, (F.col("n") - F.col("k")).cast("double"))).alias("epsilon2"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution."""
     return pd.Series(chi2_sf(x.to_numpy(float), dof.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """Normal distribution function; null for null."""
     x = z.to_numpy(float)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import series
+from . import analysis, series
 
-QUERIES = {**series.QUERIES}
-SQL = {**series.SQL}
+QUERIES = {**series.QUERIES, **analysis.QUERIES}
+SQL = {**series.SQL, **analysis.SQL}

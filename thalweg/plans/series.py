@@ -313,11 +313,11 @@ def rx1_rx5_r95(spark, sf_dir):
 
 @query(f"""WITH {CUBE}, q AS (SELECT pixel_id, quantile_cont(v, 0.6) AS lim FROM cube GROUP BY 1), e AS (SELECT pixel_id, d, v - lim AS ex, (d - DATE '1970-01-01') AS n FROM cube JOIN q USING (pixel_id)),
 r AS (SELECT *, n - row_number() OVER (PARTITION BY pixel_id ORDER BY d) AS run FROM e WHERE ex > 0)
-SELECT pixel_id, min(d) AS onset, arg_min(d, (-ex, n)) AS peak_time, max(d) AS "end", count(*) AS days, round(max(ex), 6) AS top, round(avg(ex), 6) AS mean, round(sum(ex), 6) AS cumulative, round(sum(n * ex) / sum(ex), 4) AS centroid
+SELECT pixel_id, min(d) AS onset, arg_min(d, (-ex, n)) AS peak_time, max(d) AS "end", count(*) AS days, round(max(ex), 6) AS top, round(avg(ex), 6) AS mean, round(sum(ex), 6) AS cumulative, round(sum(n * ex) / sum(ex), 3) AS centroid
 FROM r GROUP BY pixel_id, run HAVING count(*) >= 4""")
 def mhw_catalog(spark, sf_dir):
     rows = ev.percentile_runs(cube_daily(spark, sf_dir), ["pixel_id"], 0.6, 4)
-    return rounded(rows).withColumn("centroid", F.round("centroid", 4))
+    return rounded(rows.withColumn("centroid", F.round("centroid", 3)))
 
 
 @query(f"""WITH {CUBE_WEEKLY} SELECT pixel_id, week_end, round(avg(v) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS mean_4, v - lag(v, 4) OVER w AS delta_4, round(avg(v) OVER (w ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 6) AS mean_13, v - lag(v, 13) OVER w AS delta_13
@@ -365,10 +365,10 @@ def tilt(spark, sf_dir):
     return rounded(op(cube_daily(spark, sf_dir), ["d"], (140.0, 220.0), (220.0, 330.0)))
 
 
-@query("""SELECT event_id, round(sqrt(value * value + 9), 6) AS speed, round(1.22::DOUBLE * 1.3e-3 * sqrt(value * value + 9) * value, 8) AS stress FROM events""")
+@query("""SELECT event_id, round(sqrt(value * value + 9), 6) AS speed, round(1.22::DOUBLE * 1.3e-3 * sqrt(value * value + 9) * value, 12) AS stress FROM events""")
 def wind_stress(spark, sf_dir):
     speed, stress = grid.wind_stress(F.col("value"), F.lit(3.0))
-    return table(spark, sf_dir, "events").select("event_id", F.round(speed, 6).alias("speed"), F.round(stress, 8).alias("stress"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(speed, 6).alias("speed"), F.round(stress, 12).alias("stress"))
 
 
 @query(f"""WITH {SIGNAL}, c AS (SELECT d, fmod(((d - DATE '2000-01-06') / 29.530588853::DOUBLE), 1.0) AS r FROM signal), p AS (SELECT d, CASE WHEN r < 0 THEN r + 1 ELSE r END AS cyc FROM c)
