@@ -3,9 +3,9 @@
 Test items and documents are compared as words, lower-cased and without
 punctuation. The seeds of an item are its ``SEED``-word n-grams but those that are
 common: a first pass counts over all documents in how many texts each n-gram is,
-and one is common if that is over ``RARE`` of all texts and over four times the
-median of its item. (An item that itself leaked widely has a high median and
-keeps its seeds.) In a second pass seeds join documents to items. Around each run
+and one is common if that is over ``FEW``, over ``RARE`` of all texts, and over four
+times the median of its item's n-grams that are in any text. (An item that itself
+leaked widely, as it is or edited, has a high median and keeps its seeds.) In a second pass seeds join documents to items. Around each run
 of hits a local alignment of the item's words with the passage, +2 for a match, -1
 for another word or a gap, gives a score as a share of a perfect one; pairs of
 ``LEAST`` or more are reported. Before aligning, passages that hold too few of the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .words import Words, inside, slices, split, texts_of, windows
 
-SEED, RARE, LEAST = 3, 0.001, 0.5
+SEED, FEW, RARE, LEAST = 3, 64, 0.001, 0.5
 ITEM_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 8 << 20
@@ -72,7 +72,9 @@ def without_common(items: Items, texts: np.ndarray, limit: float) -> Items:
     keep = np.zeros(len(each), bool)
     for i in np.unique(items.item):
         mine = np.flatnonzero(items.item == i)
-        keep[mine] = each[mine] <= max(limit, 4 * np.median(each[mine]))
+        there = each[mine][each[mine] > 0]
+        if len(there):
+            keep[mine] = (each[mine] > 0) & (each[mine] <= max(limit, FEW, 4 * np.median(there)))
     seed = np.repeat(np.arange(len(items.seeds)), np.diff(items.heads))[keep]
     left, first = np.unique(seed, return_index=True)
     return items._replace(seeds=items.seeds[left], heads=np.r_[first, len(seed)], item=items.item[keep], place=items.place[keep])

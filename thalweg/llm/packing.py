@@ -107,7 +107,8 @@ def best_fit(sized: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
     kind = sized.schema["id"].dataType.simpleString()
     whole = F.floor(F.col("tokens") / capacity)
     pieces = sized.withColumn("rest", F.col("tokens") % capacity)
-    lone = pieces.where(whole > 0).select("id", "tokens", F.xxhash64("id", "source", "tokens", "cluster").alias("h"), F.posexplode(F.array_repeat(F.lit(capacity).cast("long"), whole.cast("int"))).alias("piece", "size"))
+    # rows are numbered by their place in the reading, so that repeated rows have full bins of their own
+    lone = pieces.withColumn("h", F.monotonically_increasing_id()).where(whole > 0).select("id", "h", F.posexplode(F.array_repeat(F.lit(capacity).cast("long"), whole.cast("int"))).alias("piece", "size"))
     lone = lone.select("id", F.col("piece").cast("long"), (F.col("piece") * capacity).cast("long").alias("first"), F.col("size").alias("tokens"), F.concat_ws("-", F.lit("full"), F.hex("h"), "piece").alias("bin"))
     none = sized.where("tokens = 0").select("id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("string").alias("bin"))
     rest = pieces.where("rest > 0").select("id", "source", "cluster", whole.cast("long").alias("piece"), (whole * capacity).cast("long").alias("first"), F.col("rest").alias("tokens"))
