@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, passing
-from .components import connected_components
+from .components import connected_components, spanning
 from .shared import written
 from .words import MIX2, inside, scramble, slices, split, windows
 
@@ -133,25 +133,6 @@ def signatures(tokens: np.ndarray, offsets: np.ndarray, p: int) -> tuple[np.ndar
     return np.concatenate(owners), np.concatenate(values)
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the edges."""
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    out = []
-    for a, b in zip(u.tolist(), v.tolist(), strict=True):
-        x, y = top(a), top(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
 def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of one record per key, and a spanning forest of the edges from it to the key's others."""
     by = np.lexsort((node, key))
@@ -160,7 +141,7 @@ def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     pivot = x[np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))] if len(k) else x
     other = np.flatnonzero(pivot != x)
     pairs = np.unique(np.stack([pivot[other], x[other]], axis=1), axis=0) if len(other) else np.zeros((0, 2), np.int64)
-    found = np.array(forest(pairs[:, 0], pairs[:, 1]), np.int64).reshape(-1, 2)
+    found = np.array(spanning(pairs[:, 0].tolist(), pairs[:, 1].tolist()), np.int64).reshape(-1, 2)
     return by[fresh], found[:, 0], found[:, 1]
 
 
