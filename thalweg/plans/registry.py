@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, series
+from . import analysis, more, series
 
-QUERIES = {**series.QUERIES, **analysis.QUERIES}
-SQL = {**series.SQL, **analysis.SQL}
+QUERIES = {**series.QUERIES, **analysis.QUERIES, **more.QUERIES}
+SQL = {**series.SQL, **analysis.SQL, **more.SQL}
