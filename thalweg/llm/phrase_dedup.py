@@ -149,10 +149,10 @@ def occurrences(words: Words, phrases: dict[tuple[int, ...], int]) -> tuple[np.n
 
 
 def _shards(df: DataFrame) -> int:
-    """Shards for a plan's input: a few for each shuffle partition, and more for more bytes."""
+    """Shards for a plan's input: two for each shuffle partition, and more for more bytes."""
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    at_least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at_least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(at_least, min(size // SHARD, 1 << 31)) if size < 1 << 60 else at_least
 
 
@@ -164,7 +164,7 @@ def _scanned(docs: DataFrame, text_col: str, width: int, gram: int, finish, sche
     spark = docs.sparkSession
     n = _shards(docs)
     shard = F.pmod(F.xxhash64(*docs.columns), F.lit(n)).alias("shard")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2)
     dealt = docs.select(shard, *docs.columns).repartition(parts, "shard")
 
     def text(table: pa.Table) -> Words:
