@@ -219,10 +219,10 @@ def doy_climatology(spark, sf_dir):
     return rounded(clim.doy_climatology(signal_daily(spark, sf_dir), base=BASE), 4)
 
 
-@query(f"WITH {DOY} SELECT d, round(x - clim, 4) AS anomaly FROM signal LEFT JOIN dclim ON doy = dayofyear(d)")
+@query(f"WITH {DOY} SELECT d, round(x - clim, 6) AS anomaly FROM signal LEFT JOIN dclim ON doy = dayofyear(d)")
 def doy_anomaly(spark, sf_dir):
     rows = signal_daily(spark, sf_dir)
-    return rounded(clim.daily_anomaly(rows, clim.doy_climatology(rows, base=BASE)).select("d", "anomaly"), 4)
+    return rounded(clim.daily_anomaly(rows, clim.doy_climatology(rows, base=BASE)).select("d", "anomaly"))
 
 
 @query(f"WITH {DOY} SELECT d, round((x - clim) / nullif(sd, 0), 6) AS standardized FROM signal LEFT JOIN dclim ON doy = dayofyear(d)")
@@ -353,9 +353,9 @@ def coverage_audit(spark, sf_dir):
     return rounded(win.coverage(cal.densified(signal_daily(spark, sf_dir)), "x", [], "d"))
 
 
-@query(f"WITH {SIGNAL}, t AS (SELECT d, (x - lag(x) OVER (ORDER BY d)) / (d - lag(d) OVER (ORDER BY d)) AS tendency FROM signal) SELECT d, round(tendency, 4) AS tendency FROM t WHERE tendency IS NOT NULL")
+@query(f"WITH {SIGNAL}, t AS (SELECT d, (x - lag(x) OVER (ORDER BY d)) / (d - lag(d) OVER (ORDER BY d)) AS tendency FROM signal) SELECT d, round(tendency, 7) AS tendency FROM t WHERE tendency IS NOT NULL")
 def tendency(spark, sf_dir):
-    return rounded(win.tendency(signal_daily(spark, sf_dir), "x", [], "d").select("d", "tendency"), 4)
+    return rounded(win.tendency(signal_daily(spark, sf_dir), "x", [], "d").select("d", "tendency"), 7)
 
 
 @query(f"""WITH {CUBE}, w AS (SELECT d, avg(v) FILTER (lon BETWEEN 140 AND 220) AS w, avg(v) FILTER (lon BETWEEN 220 AND 330) AS e, regr_slope(v, lon) AS slope FROM cube GROUP BY d) SELECT d, round(e - w, 6) AS tilt, round(slope, 6) AS slope FROM w""")
