@@ -36,7 +36,7 @@ from .words import Words, inside, slices, split, texts_of, windows
 SEED, FEW, RARE, LEAST = 3, 64, 0.001, 0.5
 ITEM_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 class Items(NamedTuple):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .words import MIX1, MIX2, Words, scramble, slices, split, texts_of
 
 #: Text bytes labelled at once.
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 BITS, PIECE, PER_LANGUAGE, ROUNDS = 16, 64, 100, 30
 UNKNOWN = "und"
 

@@ -31,7 +31,7 @@ from .words import slices, texts_of
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
 #: Text bytes whose distinct pre-tokens are merged together.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 
 
 class PieceRanks:

@@ -7,6 +7,7 @@ A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,11 +17,17 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes handled at once; bounds a worker's memory, not the input.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not glibc
+    _TRIM = None
+
+
 class Words(NamedTuple):
     """Words of a block of texts, one after another."""
 
@@ -44,6 +51,13 @@ class Words(NamedTuple):
         return table[self.codes] if len(table) else np.zeros(0, np.uint64)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; workers live on between stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in blocks of about ``limit`` text bytes (a longer text is a block)."""
     for batch in batches:
@@ -54,6 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        give_back()
 
 
 def texts_of(column: pa.Array) -> pa.Array:
