@@ -51,7 +51,7 @@ from .words import MIX2, inside, scramble, slices, split, windows
 #: Text bytes of a block of signatures.
 BLOCK = 3 << 20
 #: Tokens verified in one task; components of more are verified as pairs of blocks of half that.
-TOKENS = 4_000_000
+TOKENS = 2_000_000
 
 
 def bands(p: int, most: int) -> np.ndarray:
