@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, more, series
+from . import analysis, extra, more, series
 
-QUERIES = {**series.QUERIES, **analysis.QUERIES, **more.QUERIES}
-SQL = {**series.SQL, **analysis.SQL, **more.SQL}
+QUERIES = {**series.QUERIES, **analysis.QUERIES, **more.QUERIES, **extra.QUERIES}
+SQL = {**series.SQL, **analysis.SQL, **more.SQL, **extra.SQL}
