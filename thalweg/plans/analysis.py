@@ -124,8 +124,8 @@ def best_lag(spark, sf_dir):
     return rounded(stats.best_lag(correlations(spark, sf_dir), ["pixel_id"]))
 
 
-@query(f"""WITH {LAGGED}, ranked AS (SELECT pixel_id, rank() OVER (w ORDER BY x) + (count(*) OVER (PARTITION BY pixel_id, x) - 1) / 2.0 AS a, rank() OVER (w ORDER BY v) + (count(*) OVER (PARTITION BY pixel_id, v) - 1) / 2.0 AS b FROM pairs WHERE lag = 0 WINDOW w AS (PARTITION BY pixel_id))
-SELECT pixel_id, count(*) AS n, round(corr(a::DOUBLE, b::DOUBLE), 6) AS rho FROM ranked GROUP BY 1""".replace("OVER (w ORDER BY x)", "OVER (PARTITION BY pixel_id ORDER BY x)").replace("OVER (w ORDER BY v)", "OVER (PARTITION BY pixel_id ORDER BY v)").replace(" WINDOW w AS (PARTITION BY pixel_id)", ""))
+@query(f"""WITH {LAGGED}, ranked AS (SELECT pixel_id, rank() OVER (PARTITION BY pixel_id ORDER BY x) + (count(*) OVER (PARTITION BY pixel_id, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY pixel_id ORDER BY v) + (count(*) OVER (PARTITION BY pixel_id, v) - 1) / 2.0 AS b FROM pairs WHERE lag = 0)
+SELECT pixel_id, count(*) AS n, round(corr(a::DOUBLE, b::DOUBLE), 6) AS rho FROM ranked GROUP BY 1""")
 def spearman(spark, sf_dir):
     return rounded(stats.spearman(lagged_pairs(spark, sf_dir).where("lag = 0"), ["pixel_id"], "x", "v"))
 
@@ -303,8 +303,8 @@ def event_folds(spark, sf_dir):
     return sup.event_folds(events(spark, sf_dir), least=2)
 
 
-@query(f"""WITH {SIGNAL}, f(fold, a, b, c, e) AS (VALUES (0, 1995, 1998, 1999), (1, 1996, 1999, 2000)) SELECT 1""".replace("f(fold, a, b, c, e) AS (VALUES (0, 1995, 1998, 1999), (1, 1996, 1999, 2000)) SELECT 1", """f AS (SELECT * FROM (VALUES (0, 1995, 1997, 1998, 1999), (1, 1996, 1998, 1999, 2000), (2, 1997, 1999, 2000, 2001)) t(fold, s, tr, va, te))
-SELECT d, fold::INT AS fold, CASE WHEN d >= make_date(s, 1, 1) AND d < make_date(tr + 1, 1, 1) - 28 THEN 'train' WHEN d >= make_date(tr + 1, 1, 1) AND d < make_date(va + 1, 1, 1) - 28 THEN 'validation' WHEN d >= make_date(va + 1, 1, 1) AND d < make_date(te + 1, 1, 1) THEN 'test' END AS split FROM signal, f"""))
+@query(f"""WITH {SIGNAL}, f AS (SELECT * FROM (VALUES (0, 1995, 1997, 1998, 1999), (1, 1996, 1998, 1999, 2000), (2, 1997, 1999, 2000, 2001)) t(fold, s, tr, va, te))
+SELECT d, fold::INT AS fold, CASE WHEN d >= make_date(s, 1, 1) AND d < make_date(tr + 1, 1, 1) - 28 THEN 'train' WHEN d >= make_date(tr + 1, 1, 1) AND d < make_date(va + 1, 1, 1) - 28 THEN 'validation' WHEN d >= make_date(va + 1, 1, 1) AND d < make_date(te + 1, 1, 1) THEN 'test' END AS split FROM signal, f""")
 def walk_forward_folds(spark, sf_dir):
     out = None
     for f in sup.walk_forward_folds(1995, 2001, 3, 1, 1, 28):
@@ -364,8 +364,8 @@ def season_grouping_sets(spark, sf_dir):
     return rounded(rows.groupBy("pixel_id", "season").agg(F.count("*").alias("n"), F.avg("v").alias("mean")))
 
 
-@query(f"""WITH {CUBE_WEEKLY}, s AS (SELECT pixel_id, week_end, list(v) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS history, lead(v, 2) OVER (w) AS target FROM cw WINDOW w AS (PARTITION BY pixel_id ORDER BY week_end))
-SELECT pixel_id, week_end, list_sum(history) AS history_sum, history[1] AS first_value, target FROM s WHERE len(history) = 4 AND target IS NOT NULL""".replace("OVER (w ROWS", "OVER (PARTITION BY pixel_id ORDER BY week_end ROWS").replace("OVER (w)", "OVER w"))
+@query(f"""WITH {CUBE_WEEKLY}, s AS (SELECT pixel_id, week_end, list(v) OVER (PARTITION BY pixel_id ORDER BY week_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS history, lead(v, 2) OVER w AS target FROM cw WINDOW w AS (PARTITION BY pixel_id ORDER BY week_end))
+SELECT pixel_id, week_end, list_sum(history) AS history_sum, history[1] AS first_value, target FROM s WHERE len(history) = 4 AND target IS NOT NULL""")
 def sliding_sequences(spark, sf_dir):
     rows = sup.sequences(cube_weekly(spark, sf_dir), "v", 4, 2, ["pixel_id"], "week_end")
     return rows.select("pixel_id", "week_end", F.aggregate("history", F.lit(0.0), lambda a, x: a + x).alias("history_sum"), F.col("history")[0].alias("first_value"), "target")
@@ -426,7 +426,8 @@ def unpivot_values(spark, sf_dir):
     return tables.unpivoted(rows, ["c_custkey"], ["balance", "nation"])
 
 
-@query("SELECT p_partkey, trim(regexp_replace(lower(strip_accents(p_name || ' É-' || p_brand)), '[^a-z0-9]+', '_', 'g'), '_') AS slug, 'p' || replace(CAST(p_size / 2.0 AS VARCHAR), '.0', '') AS label FROM part".replace("'p' || replace(CAST(p_size / 2.0 AS VARCHAR), '.0', '')", "'p' || replace(rtrim(rtrim(format('{:.6f}', p_size / 2.0::DOUBLE), '0'), '.'), '.', 'p')"))
+@query("""SELECT p_partkey, trim(regexp_replace(lower(strip_accents(p_name || ' É-' || p_brand)), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
+'p' || replace(rtrim(rtrim(format('{:.6f}', p_size / 2.0::DOUBLE), '0'), '.'), '.', 'p') AS label FROM part""")
 def slug_codes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" É-"), "p_brand")).alias("slug"), text.percentile_label(F.col("p_size") / 2.0).alias("label"))
 

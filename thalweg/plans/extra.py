@@ -43,7 +43,7 @@ def fold_transformer(spark, sf_dir):
 
 @query(f"""WITH {WEEKLY}, a AS (SELECT week_end, x - avg(x) OVER () AS a, stddev_pop(x) OVER () AS sd FROM weekly), s AS (SELECT week_end, CASE WHEN count(a) OVER w >= 6 THEN avg(a / sd) OVER w END AS s FROM a WINDOW w AS (ORDER BY week_end ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
 o AS (SELECT *, s >= 0.05 AS is_on FROM s WHERE s IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY week_end) - row_number() OVER (PARTITION BY is_on ORDER BY week_end) AS run FROM o)
-SELECT min(week_end) AS start, max(week_end) AS "end", count(*) AS months, round(max(s), 6) AS top, row_number() OVER (ORDER BY min(week_end))::INT AS run_no FROM r WHERE is_on GROUP BY run HAVING count(*) >= 5""".replace("row_number() OVER (ORDER BY min(week_end))::INT", "CAST(row_number() OVER (ORDER BY min(week_end)) AS INT)"))
+SELECT min(week_end) AS start, max(week_end) AS "end", count(*) AS months, round(max(s), 6) AS top, CAST(row_number() OVER (ORDER BY min(week_end)) AS INT) AS run_no FROM r WHERE is_on GROUP BY run HAVING count(*) >= 5""")
 def weekly_event_catalogue(spark, sf_dir):
     """Runs of the smoothed weekly signal over a threshold; "months" counts its weeks."""
     from ..operators.events import gap_tolerant_runs

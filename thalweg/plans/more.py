@@ -251,7 +251,8 @@ def tolerant_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.tolerant_date(number).alias("parsed"))
 
 
-@query("SELECT p_brand, p_partkey, dense_rank() OVER w::INT AS dense, rank() OVER w::INT AS lowest, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey)::INT AS ordinal FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size DESC)".replace("dense_rank() OVER w::INT", "CAST(dense_rank() OVER w AS INT)").replace("rank() OVER w::INT", "CAST(rank() OVER w AS INT)").replace("row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey)::INT", "CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS INT)"))
+@query("""SELECT p_brand, p_partkey, CAST(dense_rank() OVER w AS INT) AS dense, CAST(rank() OVER w AS INT) AS lowest, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS INT) AS ordinal
+FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size DESC)""")
 def ranks(spark, sf_dir):
     w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"))
     return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.dense_rank().over(w).alias("dense"), F.rank().over(w).alias("lowest"), F.row_number().over(w.orderBy(F.desc("p_size"), "p_partkey")).alias("ordinal"))

@@ -267,7 +267,8 @@ def spi_gamma(spark, sf_dir):
     return rounded(clim.spi(cube_weekly(spark, sf_dir), ["pixel_id"]).select("pixel_id", "week_end", "accumulated", "spi"))
 
 
-@query(f"WITH {CUBE} SELECT pixel_id, count(v) AS n, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90, CASE WHEN count(v) >= 100 THEN quantile_cont(v, 0.975) END AS p97p5 FROM cube WHERE year(d) <= 1999 GROUP BY 1".replace("quantile_cont(v, 0.1)", "round(quantile_cont(v, 0.1), 6)").replace("quantile_cont(v, 0.9)", "round(quantile_cont(v, 0.9), 6)").replace("quantile_cont(v, 0.975)", "round(quantile_cont(v, 0.975), 6)"))
+@query(f"""WITH {CUBE} SELECT pixel_id, count(v) AS n, round(quantile_cont(v, 0.1), 6) AS p10, quantile_cont(v, 0.5) AS p50, round(quantile_cont(v, 0.9), 6) AS p90,
+CASE WHEN count(v) >= 100 THEN round(quantile_cont(v, 0.975), 6) END AS p97p5 FROM cube WHERE year(d) <= 1999 GROUP BY 1""")
 def percentile_thresholds(spark, sf_dir):
     from ..operators.tables import quantiles
 
@@ -320,8 +321,8 @@ def mhw_catalog(spark, sf_dir):
     return rounded(rows.withColumn("centroid", F.round("centroid", 3)))
 
 
-@query(f"""WITH {CUBE_WEEKLY} SELECT pixel_id, week_end, round(avg(v) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS mean_4, v - lag(v, 4) OVER w AS delta_4, round(avg(v) OVER (w ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 6) AS mean_13, v - lag(v, 13) OVER w AS delta_13
-FROM cw WINDOW w AS (PARTITION BY pixel_id ORDER BY week_end)""".replace("OVER (w ROWS", "OVER (PARTITION BY pixel_id ORDER BY week_end ROWS"))
+@query(f"""WITH {CUBE_WEEKLY} SELECT pixel_id, week_end, round(avg(v) OVER (PARTITION BY pixel_id ORDER BY week_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS mean_4, v - lag(v, 4) OVER w AS delta_4, round(avg(v) OVER (PARTITION BY pixel_id ORDER BY week_end ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 6) AS mean_13, v - lag(v, 13) OVER w AS delta_13
+FROM cw WINDOW w AS (PARTITION BY pixel_id ORDER BY week_end)""")
 def history_features(spark, sf_dir):
     return rounded(win.history_features(cube_weekly(spark, sf_dir), "v", (4, 13), ["pixel_id"], "week_end").drop("v"))
 
