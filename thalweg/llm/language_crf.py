@@ -213,8 +213,14 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     """At most ``per_language`` rows of each language outside fold 0, those of the lowest hash of their identifier."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.where(F.col("l").isNotNull() & (F.crc32(F.col("i").cast("string")) % folds != 0))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = rows.select("i", "l").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("i", "l").collect()
+    # of each language first the share of lowest hashes that holds four times the rows wanted, so that few rows meet
+    h, wide = F.xxhash64("i"), 1 << 64
+    some = F.lit(False)
+    for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect():
+        share = min(wide, 4 * per_language * wide // r.n)
+        some = some | ((F.col("l") == r.l) & (h <= F.lit(share - (wide >> 1) - 1)))
+    order = Window.partitionBy("l").orderBy(h, "i")
+    chosen = rows.where(some).select("i", "l").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("i", "l").collect()
     if not chosen:
         return []
     got = rows.where(F.col("i").isin([x.i for x in chosen])).groupBy("i", "l").agg(F.max("t").alias("t")).collect()
