@@ -8,11 +8,13 @@ that of two sets of the band's largest size: then one segment at least holds the
 same subset of both. Every set indexes its subsets under its own band and, to
 meet larger sets, under the next.
 
-Allocation of the H + 1 errors by cost: an empty subset, which all sets without
-tokens in a segment share, is the dear one. Where a set has one such segment, that
-segment gets no error and segment 0 two, for which every set also indexes its
-one-deletion neighbourhood. (A set with two or more empty segments, rare beyond
-measure, indexes them all; seen from either set the pigeonhole holds.)
+Allocation of the H + 1 errors by cost: a subset of no element or one is the dear
+one, for all sets with that element, however common, share it. Each band has d
+segments, as many as sets of its size usually have dear subsets, that get two
+errors: for those every set also indexes its one-deletion neighbourhood. A set
+with at most d dear subsets in the other segments gives them none. (A set with
+more, which is rare, indexes them all; seen from either set of a pair the
+pigeonhole holds.)
 
 Signatures only say which sets may be linked. Of the records with one signature
 a block of texts sends one on, with edges from it to the others, and so does a
@@ -90,6 +92,13 @@ def set_ids(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(size > 0, ids, np.uint64(0)).view(np.int64)
 
 
+def doubled(largest: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """How many segments of a band get two errors: about as many, and three deviations more, as hold no element or one."""
+    mean = largest / segments
+    dear = segments * np.exp(-mean) * (1 + mean)
+    return np.minimum(np.ceil(dear + 3 * np.sqrt(dear)).astype(np.int64) + 1, segments - 1)
+
+
 def signatures(tokens: np.ndarray, offsets: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of all non-empty sets."""
     size = np.diff(offsets)
@@ -120,16 +129,16 @@ def signatures(tokens: np.ndarray, offsets: np.ndarray, p: int) -> tuple[np.ndar
             of = np.repeat(np.arange(len(takes)), count)
             place = np.arange(len(total)) - start[of]
             label = (band[takes][of].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)
-            empty = (held == 0) & (place > 0)
-            alone = np.bincount(of[empty], minlength=len(takes)) == 1
-            sent = ~(empty & alone[of])
+            twice = doubled(ends[band[takes]], count)
+            dear = (held <= 1) & (place >= twice[of])
+            sent = ~(dear & (np.bincount(of[dear], minlength=len(takes)) <= twice)[of])
             owners.append(takes[of[sent]])
             values.append(scramble(total[sent] * MIX2 + scramble(label[sent])))
-            # one-deletion neighbourhood of segment 0, where there are others to spare
-            zero = np.flatnonzero((segment == 0) & (count[mine] > 1))
-            less = total[cell[zero]] - mixed[at[zero]]
-            owners.append(takes[mine[zero]])
-            values.append(scramble(less * MIX2 + scramble(label[start[mine[zero]]])))
+            # one-deletion neighbourhoods of the segments with two errors
+            near = np.flatnonzero(segment < twice[mine])
+            less = total[cell[near]] - mixed[at[near]]
+            owners.append(takes[mine[near]])
+            values.append(scramble(less * MIX2 + scramble(label[cell[near]])))
     return np.concatenate(owners), np.concatenate(values)
 
 
