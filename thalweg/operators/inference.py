@@ -79,12 +79,12 @@ def confirmatory_gate(df: DataFrame, q: str, p_field: str, same_sign: str, n_eve
     )
 
 
-def rolled_events(df: DataFrame, event: str, order: str, value: str, shift: int) -> DataFrame:
-    """Adds rolled: the values of each event rolled round by ``shift`` places."""
-    w = Window.partitionBy(event)
+def rolled_events(df: DataFrame, event: str, order: str, value: str, shift: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds rolled: the values of each event (of a key) rolled round by ``shift`` places."""
+    w = Window.partitionBy(*keys, event)
     rows = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    other = rows.select(event, F.pmod(F.col("_i") + shift, F.col("_n")).alias("_i"), F.col(value).alias("rolled"))
-    return rows.join(other, [event, "_i"]).drop("_i", "_n")
+    other = rows.select(*keys, event, F.pmod(F.col("_i") + shift, F.col("_n")).alias("_i"), F.col(value).alias("rolled"))
+    return rows.join(other, [*keys, event, "_i"]).drop("_i", "_n")
 
 
 def picked_peaks(df: DataFrame, keys: list[str], day: str, value: str, least: float, apart_days: int, most: int) -> DataFrame:

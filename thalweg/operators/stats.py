@@ -105,12 +105,12 @@ def leave_one_out(df: DataFrame, event: str, x: str, y: str, keys: tuple[str, ..
     return out.withColumn("same_sign", F.signum("r_without") == F.signum("r_all"))
 
 
-def circular_shifts(df: DataFrame, order: str, x: str, y: str, shifts: list[int]) -> DataFrame:
-    """(shift, r): correlation with y rolled by each of a stated list of offsets, all rows wrapping around."""
-    n = Window.orderBy(order)  # the axis of weeks is one short series
-    rows = df.withColumn("_i", F.row_number().over(n) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    left = rows.select("_i", "_n", F.col(x).alias("a"), F.explode(F.array(*map(F.lit, shifts))).alias("shift")).withColumn("_i", F.pmod(F.col("_i") + F.col("shift"), F.col("_n")))
-    return left.join(rows.select("_i", F.col(y).alias("b")), "_i").groupBy("shift").agg(pearson("a", "b").alias("r"))
+def circular_shifts(df: DataFrame, order: str, x: str, y: str, shifts: list[int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, shift, r): correlation with y rolled by each of a stated list of offsets, all rows of a key wrapping around."""
+    n = Window.partitionBy(*keys)  # the axis of weeks is one short series a key
+    rows = df.withColumn("_i", F.row_number().over(n.orderBy(order)) - 1).withColumn("_n", F.count("*").over(n))
+    left = rows.select(*keys, "_i", "_n", F.col(x).alias("a"), F.explode(F.array(*map(F.lit, shifts))).alias("shift")).withColumn("_i", F.pmod(F.col("_i") + F.col("shift"), F.col("_n")))
+    return left.join(rows.select(*keys, "_i", F.col(y).alias("b")), [*keys, "_i"]).groupBy(*keys, "shift").agg(pearson("a", "b").alias("r"))
 
 
 def shift_p(null: DataFrame, observed: Column | float) -> DataFrame:
@@ -154,23 +154,25 @@ def normal_cdf(z: pd.Series) -> pd.Series:
     return pd.Series(np.where(np.isnan(x), np.nan, ndtr(x))).replace({np.nan: None})
 
 
-def block_bootstrap(df: DataFrame, order: str, x: str, y: str, block: int, draws: int, seed: int = 42, step_days: int = 7) -> DataFrame:
-    """(n_draws, low, high, same_sign): percentile interval of a correlation over moving blocks that never cross a gap.
+def block_bootstrap(df: DataFrame, order: str, x: str, y: str, block: int, draws: int, seed: int = 42, step_days: int = 7, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n_draws, low, high, same_sign): percentile interval of a correlation over moving blocks that never cross a gap.
 
-    Block starts are drawn by hashes of (seed, draw, place), so a repeated run draws the same; the draws are rows, and each is one aggregation.
+    Block starts are drawn by hashes of (seed, draw, place), so a repeated run draws the same, and all keys draw alike; the draws are rows, and each is one aggregation.
     """
+    beside = lambda a, b: a.join(b, list(keys)) if keys else a.crossJoin(b)
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    w = Window.orderBy(order)  # one short series
+    w = Window.partitionBy(*keys).orderBy(order)  # one short series a key
     rows = ok.withColumn("_i", F.row_number().over(w) - 1).withColumn("_run", F.datediff(order, F.lit("1970-01-01")) - F.row_number().over(w) * step_days)
-    starts = rows.withColumn("_last", F.count("*").over(Window.partitionBy("_run").orderBy("_i").rowsBetween(0, block - 1))).where(F.col("_last") == block)
-    starts = starts.withColumn("_s", F.row_number().over(Window.orderBy("_i")) - 1).select("_s", F.col("_i").alias("first"))
-    counts = rows.agg(F.count("*").alias("n")).crossJoin(starts.agg(F.count("*").alias("m"))).where("m > 0")
-    picks = counts.select("m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), F.ceil(F.col("n") / block).cast("int").alias("per"))
-    picks = picks.select("draw", "m", F.explode(F.sequence(F.lit(0), F.col("per") - 1)).alias("place")).withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), "draw", "place"), F.col("m")).cast("int"))
-    taken = picks.join(starts, "_s").select("draw", F.explode(F.sequence(F.col("first"), F.col("first") + block - 1)).alias("_i")).join(rows.select("_i", x, y), "_i")
-    each = taken.groupBy("draw").agg(pearson(x, y).alias("r"))
-    seen = ok.agg(pearson(x, y).alias("r0"))
-    return each.crossJoin(F.broadcast(seen)).agg(F.count("r").alias("n_draws"), F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"), F.avg((F.signum("r") == F.signum("r0")).cast("double")).alias("same_sign"))
+    starts = rows.withColumn("_last", F.count("*").over(Window.partitionBy(*keys, "_run").orderBy("_i").rowsBetween(0, block - 1))).where(F.col("_last") == block)
+    starts = starts.withColumn("_s", F.row_number().over(Window.partitionBy(*keys).orderBy("_i")) - 1).select(*keys, "_s", F.col("_i").alias("first"))
+    counts = beside(rows.groupBy(*keys).agg(F.count("*").alias("n")), starts.groupBy(*keys).agg(F.count("*").alias("m"))).where("m > 0")
+    picks = counts.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), F.ceil(F.col("n") / block).cast("int").alias("per"))
+    picks = picks.select(*keys, "draw", "m", F.explode(F.sequence(F.lit(0), F.col("per") - 1)).alias("place")).withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), "draw", "place"), F.col("m")).cast("int"))
+    taken = picks.join(starts, [*keys, "_s"]).select(*keys, "draw", F.explode(F.sequence(F.col("first"), F.col("first") + block - 1)).alias("_i")).join(rows.select(*keys, "_i", x, y), [*keys, "_i"])
+    each = taken.groupBy(*keys, "draw").agg(pearson(x, y).alias("r"))
+    seen = ok.groupBy(*keys).agg(pearson(x, y).alias("r0"))
+    drawn = seen.join(each, list(keys), "left") if keys else each.crossJoin(F.broadcast(seen))  # a key without a whole block has no draw
+    return drawn.groupBy(*keys).agg(F.count("r").alias("n_draws"), F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"), F.avg((F.signum("r") == F.signum("r0")).cast("double")).alias("same_sign"))
 
 
 def best_lag(df: DataFrame, keys: list[str], lag: str = "lag", r: str = "r") -> DataFrame:

@@ -204,6 +204,13 @@ def circular_shift_null(spark, sf_dir):
     return rounded(stats.circular_shifts(rows, "week_end", "x", "v", SHIFTS))
 
 
+@query(f"""WITH {LAGGED}, z AS (SELECT pixel_id, row_number() OVER (PARTITION BY pixel_id ORDER BY week_end) - 1 AS i, count(*) OVER (PARTITION BY pixel_id) AS n, x, v FROM pairs WHERE lag = 0)
+SELECT a.pixel_id, s::INT AS shift, round(corr(a.x, b.v), 6) AS r FROM z a, (VALUES (30), (60), (90), (120), (150)) t(s), z b WHERE b.pixel_id = a.pixel_id AND b.i = (a.i + s) % a.n GROUP BY ALL""")
+def circular_shift_null_cells(spark, sf_dir):
+    """circular_shift_null of every cell."""
+    return rounded(stats.circular_shifts(lagged_pairs(spark, sf_dir).where("lag = 0"), "week_end", "x", "v", SHIFTS, ("pixel_id",)))
+
+
 YEARLY = f"{CUBE}, ym AS (SELECT pixel_id, year(d)::INT AS y, quarter(d)::INT AS q, avg(v) AS v FROM cube GROUP BY ALL)"
 
 
@@ -227,10 +234,19 @@ def kruskal_effect(spark, sf_dir):
     return out.select("pixel_id", "n", "k", F.round("h", 5).alias("h"), F.round("epsilon2", 6).alias("epsilon2"))
 
 
+@query(f"""WITH {CUBE}, b AS (SELECT pixel_id, month(d) AS g, rank() OVER (PARTITION BY pixel_id ORDER BY v) + (count(*) OVER (PARTITION BY pixel_id, v) - 1) / 2.0 AS r FROM cube),
+e AS (SELECT pixel_id, g, sum(r)::DOUBLE AS s, count(*) AS n FROM b GROUP BY ALL HAVING count(*) >= 10), t AS (SELECT pixel_id, sum(n)::BIGINT AS n, count(*) AS k, sum(s * s / n) AS t FROM e GROUP BY 1), h AS (SELECT *, 12.0::DOUBLE / (n * (n + 1.0)) * t - 3.0 * (n + 1) AS h FROM t)
+SELECT pixel_id, n, k, round(h, 5) AS h, round(greatest(0.0::DOUBLE, (h - k + 1) / (n - k)), 6) AS epsilon2 FROM h""")
+def kruskal_effect_cells(spark, sf_dir):
+    """kruskal_effect of every cell."""
+    out = stats.kruskal(cube_daily(spark, sf_dir).withColumn("g", F.month("d")), "g", "v", ("pixel_id",))
+    return out.select("pixel_id", "n", "k", F.round("h", 5).alias("h"), F.round("epsilon2", 6).alias("epsilon2"))
+
+
 @query()
 def block_bootstrap(spark, sf_dir):
-    rows = lagged_pairs(spark, sf_dir).where("lag = 0 and pixel_id = 0")
-    return rounded(stats.block_bootstrap(rows, "week_end", "x", "v", 26, 200))
+    rows = lagged_pairs(spark, sf_dir).where("lag = 0")
+    return rounded(stats.block_bootstrap(rows, "week_end", "x", "v", 26, 200, keys=("pixel_id",)))
 
 
 @query("""WITH a AS (SELECT p_partkey, p_type, p_retailprice FROM part), c AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS f FROM a)

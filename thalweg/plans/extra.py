@@ -98,7 +98,7 @@ def field_significance(spark, sf_dir):
 @query()
 def event_bootstrap_lags(spark, sf_dir):
     """How often each lag is the best one of a cell when whole years are drawn again."""
-    rows = lagged_pairs(spark, sf_dir).where("pixel_id < 5").withColumn("event", F.year("week_end"))
+    rows = lagged_pairs(spark, sf_dir).withColumn("event", F.year("week_end"))
     terms = {"n": F.lit(1.0), "sx": F.col("x"), "sy": F.col("v"), "sxx": F.col("x") * F.col("x"), "syy": F.col("v") * F.col("v"), "sxy": F.col("x") * F.col("v")}
     each = rows.groupBy("pixel_id", "lag", "event").agg(*[F.sum(e).alias(k) for k, e in terms.items()])
     drawn = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(99))))

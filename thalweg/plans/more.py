@@ -236,6 +236,14 @@ def circular_event_roll(spark, sf_dir):
     return inference.rolled_events(rows, "e", "week_end", "v", 5).drop("v")
 
 
+@query(f"""WITH {LAGGED}, i AS (SELECT pixel_id, week_end, year(week_end)::INT AS e, v, row_number() OVER (PARTITION BY pixel_id, year(week_end) ORDER BY week_end) - 1 AS i, count(*) OVER (PARTITION BY pixel_id, year(week_end)) AS n FROM pairs WHERE lag = 0)
+SELECT a.pixel_id, a.week_end, a.e, b.v AS rolled FROM i a JOIN i b ON a.pixel_id = b.pixel_id AND a.e = b.e AND (b.i + 5) % b.n = a.i""")
+def circular_event_roll_cells(spark, sf_dir):
+    """circular_event_roll of every cell."""
+    rows = lagged_pairs(spark, sf_dir).where("lag = 0").select("pixel_id", "week_end", F.year("week_end").alias("e"), "v")
+    return inference.rolled_events(rows, "e", "week_end", "v", 5, ("pixel_id",)).drop("v")
+
+
 # ---- scalars and audits
 
 
