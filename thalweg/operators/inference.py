@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import t_two_sided
 from .stats import pearson
 
 
@@ -79,6 +83,54 @@ def confirmatory_gate(df: DataFrame, q: str, p_field: str, same_sign: str, n_eve
     )
 
 
+def field_significance(signal: DataFrame, field: DataFrame, cell: str, order: str, x: str, y: str, lags: tuple[int, ...], margin: int = 26, alpha: float = 0.05, least: int = 30, step_days: int = 7) -> DataFrame:
+    """(lag, cells, fraction, n_shifts, p_lag, p_field): whether more of the field is correlated with a signal than by chance.
+
+    ``fraction`` is the share of cells (with ``least`` pairs) whose correlation at a lag, in steps, has p <= ``alpha``. The
+    null rolls the whole field by every common offset from the longest lag plus ``margin`` to as much before the axis' end,
+    p = (1 + number of offsets with as large a share) / (1 + number of offsets); ``p_field`` takes each offset's largest
+    share of all lags. Both are null for an axis of under three times that margin. Seasons should have been taken away before.
+    """
+    far = max(lags) + margin
+    axis = field.agg(F.min(order).alias("_first"), (F.datediff(F.max(order), F.min(order)) / step_days + 1).cast("int").alias("_n"))
+    step = (F.datediff(order, "_first") / step_days).cast("int")
+    pairs = lambda v: F.sort_array(F.collect_list(F.when(F.col(v).isNotNull(), F.struct(step.alias("i"), F.col(v).cast("double").alias("v")))))
+    one = signal.crossJoin(F.broadcast(axis)).agg(pairs(x).alias("_x"))
+    each = field.crossJoin(F.broadcast(axis)).groupBy(cell, "_n").agg(pairs(y).alias("_y")).crossJoin(F.broadcast(one))
+    each = each.select("_n", *[F.col(f"{c}.{k}").alias(f"{c}{k}") for c in ("_x", "_y") for k in "iv"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: dict[tuple[int, int], list[int]] = {}
+            for n, xi, xv, yi, yv in pdf.itertuples(index=False):
+                v = np.full(n, np.nan)
+                v[yi] = yv
+                v -= np.mean(yv) if len(yv) else 0
+                offsets = np.r_[0, np.arange(far, n - far + 1)] if n >= 3 * far else np.zeros(1, np.int64)
+                rolled = v[(np.arange(n) - offsets[:, None]) % n]
+                has = np.isfinite(rolled)
+                b = np.where(has, rolled, 0)
+                for lag in lags:
+                    a, on = np.zeros(n), np.zeros(n)
+                    ok = (xi + lag >= 0) & (xi + lag < n)
+                    a[xi[ok] + lag], on[xi[ok] + lag] = xv[ok] - np.mean(xv), 1
+                    m, sx, sxx, sy, syy, sxy = has @ on, has @ a, has @ (a * a), b @ on, (b * b) @ on, b @ a
+                    with np.errstate(all="ignore"):
+                        r = np.clip((m * sxy - sx * sy) / np.sqrt((m * sxx - sx * sx) * (m * syy - sy * sy)), -1, 1)
+                        p = t_two_sided(np.abs(r * np.sqrt((m - 2) / np.maximum(1 - r * r, 1e-15))), np.maximum(m - 2, 1e-9))
+                    valid = np.isfinite(r) & (m >= max(least, 3))
+                    for s, c, h in zip(offsets.tolist(), valid.tolist(), (valid & (p <= alpha)).tolist(), strict=True):
+                        got = found.setdefault((s, lag), [0, 0])
+                        got[0] += c
+                        got[1] += h
+            yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["shift", "lag", "cells", "hits"])
+
+    share = each.mapInPandas(run, "shift int, lag int, cells long, hits long").groupBy("shift", "lag").agg(F.sum("cells").alias("cells"), F.try_divide(F.sum("hits"), F.sum("cells")).alias("fraction"))
+    null = share.where("shift <> 0").select("lag", F.col("fraction").alias("_f"), F.max("fraction").over(Window.partitionBy("shift")).alias("_top"))
+    p = lambda c: F.when(F.col("fraction").isNotNull() & (F.count(c) > 0), (1 + F.count_if(F.col(c) >= F.col("fraction"))) / (1 + F.count(c)))
+    return share.where("shift = 0").join(null, "lag", "left").groupBy("lag", "cells", "fraction").agg(F.count("_f").alias("n_shifts"), p("_f").alias("p_lag"), p("_top").alias("p_field"))
+
+
 def rolled_events(df: DataFrame, event: str, order: str, value: str, shift: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds rolled: the values of each event (of a key) rolled round by ``shift`` places."""
     w = Window.partitionBy(*keys, event)

@@ -15,7 +15,7 @@ from ..operators.climatology import fourier_design
 from ..sources import readers, sinks
 from ..sources.views import CUBE, PROFILES, SIGNAL, cube_daily, profiles, signal_daily, table
 from ..streaming import windows as st
-from .analysis import LAGGED, lagged_pairs
+from .analysis import LAGGED, LAGS, lagged_pairs
 from .series import BANDS, CUBE_WEEKLY, ONI, PHASES, cube_weekly, events, oni, phase_table, rounded, weekly_signal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,14 +219,26 @@ def bootstrap_mean(spark, sf_dir):
     return rounded(inference.bootstrap_mean(rows, ["pixel_id"], "v", "y", 200))
 
 
+def field_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly signal against the whole field of cells at the lags of ``lagged_pairs``, in weeks."""
+    return inference.field_significance(weekly_signal(spark, sf_dir), cube_weekly(spark, sf_dir), "pixel_id", "week_end", "x", "v", tuple(k // 7 for k in LAGS))
+
+
+@query()
+def field_significance_max_lag(spark, sf_dir):
+    """Field significance with every admissible offset and the correction for the search over lags."""
+    return rounded(field_test(spark, sf_dir))
+
+
 @query()
 def confirmatory_gate(spark, sf_dir):
     rows = lagged_pairs(spark, sf_dir).where("lag = 0")
     r = stats.grouped_correlation(rows, ["pixel_id"], "x", "v")
     q = stats.benjamini_hochberg(r.withColumn("p", stats.p_of_r("r", "n")), [])
     keep = stats.leave_one_out(rows.withColumn("event", F.year("week_end")), "event", "x", "v", ("pixel_id",)).groupBy("pixel_id").agg(F.avg(F.col("same_sign").cast("double")).alias("same"), F.count("*").alias("events"))
-    out = q.join(keep, "pixel_id")
-    return rounded(out.withColumn("verdict", inference.confirmatory_gate(out, "q", "p", "same", "events")))
+    field = field_test(spark, sf_dir).where("lag = 0").select("p_field")
+    out = q.join(keep, "pixel_id").crossJoin(F.broadcast(field))
+    return rounded(out.withColumn("verdict", inference.confirmatory_gate(out, "q", "p_field", "same", "events")))
 
 
 @query(f"""WITH {LAGGED}, i AS (SELECT week_end, year(week_end)::INT AS e, v, row_number() OVER (PARTITION BY year(week_end) ORDER BY week_end) - 1 AS i, count(*) OVER (PARTITION BY year(week_end)) AS n FROM pairs WHERE lag = 0 AND pixel_id = 3)
