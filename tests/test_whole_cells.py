@@ -9,6 +9,7 @@ import pytest
 from thalweg.operators import inference, stats
 from thalweg.plans import registry
 from thalweg.plans.analysis import lagged_pairs
+from thalweg.sources.views import cube_daily
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -29,6 +30,13 @@ def test_every_cell(spark, name):
     assert {r.pixel_id for r in registry.QUERIES[name](spark, SF).collect()} == cells
 
 
+def test_feature_matrix_keeps_every_value(spark):
+    cube = {(r.d, r.pixel_id): r.v for r in cube_daily(spark, SF).collect()}
+    rows = registry.QUERIES["feature_matrix_cells"](spark, SF).collect()
+    got = {(r.d, int(c[5:])): v for r in rows for c, v in r.asDict().items() if c.startswith("cell_") and v is not None}
+    assert got == cube and len(rows[0]) == 27
+
+
 def test_keyed_shifts_and_rolls(series):
     df, rows = series
     shifts = {(r.cell, r.shift): r.r for r in stats.circular_shifts(df, "t", "x", "y", [7, 30], ("cell",)).collect()}

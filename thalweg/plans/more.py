@@ -295,6 +295,14 @@ def feature_matrix(spark, sf_dir):
     return rows.groupBy("d").pivot("name", [f"cell_{k}" for k in range(4)]).agg(F.max("v")).withColumn("month", F.month("d"))
 
 
+@query(f"WITH {CUBE} SELECT d, {', '.join(f'max(v) FILTER (pixel_id = {k}) AS cell_{k}' for k in range(25))}, month(d)::INT AS month FROM cube GROUP BY d")
+def feature_matrix_cells(spark, sf_dir):
+    """feature_matrix of every cell: the cells are the nations, with or without values."""
+    cells = sorted(r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").distinct().collect())
+    rows = cube_daily(spark, sf_dir).withColumn("name", F.concat(F.lit("cell_"), F.col("pixel_id")))
+    return rows.groupBy("d").pivot("name", [f"cell_{k}" for k in cells]).agg(F.max("v")).withColumn("month", F.month("d"))
+
+
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, round(o_totalprice * 2, 4) FROM orders WHERE o_custkey % 2 = 1")
 def upserted_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
