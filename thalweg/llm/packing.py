@@ -12,7 +12,8 @@ opened. So each piece goes to the tightest compatible bin of its shard.
 
 A shard has a bounded number of pieces, dealt evenly by hash, so one source or
 cluster with a third of all documents makes no task larger. Clusters are the
-groups of documents with equal words (lower-cased) where no column names them.
+groups of documents with equal words (lower-cased) where no column (``cluster_col``,
+as of the near-duplicate operator) names them.
 
 Results for the odd cases: documents with no tokens (null, empty, blank) have no
 place in a bin and give one row with bin null and 0 tokens; a null source or
@@ -87,8 +88,17 @@ def pack_pieces(sizes: list[int], sources: list, clusters: list, capacity: int)
     return [bins.place(n, s, c) for n, s, c in zip(sizes, source, cluster, strict=True)]
 
 
-def word_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, tokens, cluster): words as tokens, and a hash of the lower-cased words."""
+def word_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, cluster_col: str | None = None) -> DataFrame:
+    """(id, source, tokens, cluster): words as tokens, and the cluster column's value or a hash of the lower-cased words."""
+    if cluster_col is not None:
+
+        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, text_col):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(split(b.column(2)).lengths), b.column(3)], ["id", "source", "tokens", "cluster"])
+
+        named = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias(text_col), F.col(cluster_col).alias("cluster"))
+        kinds = {c: named.schema[c].dataType.simpleString() for c in ("id", "cluster")}
+        return named.mapInArrow(sizes, f"id {kinds['id']}, source string, tokens long, cluster {kinds['cluster']}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
@@ -127,7 +137,7 @@ def best_fit(sized: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
     return packed.unionByName(lone).unionByName(none)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, cluster_col: str | None = None) -> DataFrame:
     """(id, piece, first_token, n_tokens, bin_id) of every document."""
-    rows = best_fit(word_sizes(docs, id_col, text_col, source_col), capacity)
+    rows = best_fit(word_sizes(docs, id_col, text_col, source_col, cluster_col), capacity)
     return rows.select(F.col("id").alias(id_col), "piece", F.col("first").alias("first_token"), F.col("tokens").alias("n_tokens"), F.col("bin").alias("bin_id"))
