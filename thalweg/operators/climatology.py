@@ -78,6 +78,15 @@ def iso_week_robust(weekly: DataFrame, keys: list[str] = (), week_end: str = "we
     return joined.select(*weekly.columns, "week", "centre", best.alias("scale"), source.alias("scale_source"), ((F.col(value) - F.col("centre")) / best).alias("z"))
 
 
+def iso_week_anomaly(weekly: DataFrame, keys: list[str] = (), week_end: str = "week_end", value: str = "v", base: tuple[str, str] | None = None, width: int = 5) -> DataFrame:
+    """Adds anomaly against the mean of the ISO week over the base, smoothed over ``width`` weeks on a circle of 53."""
+    rows = weekly.withColumn("_week", F.weekofyear(week_end))
+    kept = rows.where(F.col(week_end).between(*[F.lit(b).cast("date") for b in base])) if base else rows
+    slots = kept.groupBy(*keys, "_week").agg(F.avg(value).alias("_clim"))
+    joined = rows.join(_circular(slots, list(keys), "_week", 53, width, ["_clim"]), [*keys, "_week"], "left")
+    return joined.withColumn("anomaly", F.col(value) - F.col("_clim")).drop("_week", "_clim")
+
+
 def fourier_design(day: str | Column, harmonics: int = 3, trend: bool = False) -> list[Column]:
     """1, sin k theta, cos k theta, with theta of the day of the year; and with ``trend`` years since 2000."""
     theta = (F.dayofyear(day) - 1) * (2 * math.pi / 365.2425)

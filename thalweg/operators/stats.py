@@ -185,3 +185,84 @@ def capped_top(df: DataFrame, family: str, score: str, name: str, k: int, cap: i
     """The k best rows with at most ``cap`` of a family. Greedy choice under one cap is the cap first, then the k best."""
     inside = df.withColumn("_f", F.row_number().over(Window.partitionBy(family).orderBy(F.col(score).desc(), F.col(name)))).where(F.col("_f") <= cap).drop("_f")
     return inside.orderBy(F.col(score).desc(), F.col(name)).limit(k)
+
+
+def conditioned_correlations(df: DataFrame, keys: list[str], event: str, order: str, x: str, y: str, step_days: int, least: int = 10) -> DataFrame:
+    """(keys, n, n_events, r, n_eff): correlation in each condition, null under ``least`` pairs, and its effective size.
+
+    Lag-one correlations only take pairs of rows that follow one another inside an event, so no event's end meets the next one's start.
+    """
+    w = Window.partitionBy(*keys, event).orderBy(order)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    near = F.datediff(order, F.lag(order).over(w)) == step_days
+    rows = rows.withColumn("_px", F.when(near, F.lag(x).over(w))).withColumn("_py", F.when(near, F.lag(y).over(w)))
+    serial = lambda v, before: F.coalesce(F.nanvl(pearson(v, before), F.lit(None).cast("double")), F.lit(0.0))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(event).alias("n_events"), F.when(F.count("*") >= least, pearson(x, y)).alias("r"), serial(x, "_px").alias("_ax"), serial(y, "_py").alias("_ay"))
+    both = F.col("_ax") * F.col("_ay")
+    return out.withColumn("n_eff", F.greatest(F.lit(3.0), F.least(F.col("n").cast("double"), F.try_divide(F.col("n") * (1 - both), F.nullif(1 + both, F.lit(0.0)))))).drop("_ax", "_ay")
+
+
+def partial_correlation_of(df: DataFrame, keys: list[str], x: str, y: str, controls: list[str]) -> DataFrame:
+    """(keys, n, r): correlation of what a linear fit on all controls leaves of both, by taking away one control after the other."""
+    names = [x, y, *controls]
+    ok = df.dropna(subset=names)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    out = ok.groupBy(*keys).agg(F.count("*").alias("n"), *[pearson(a, b).alias(f"_{a}_{b}") for a, b in pairs])
+    r = {frozenset(p): F.col(f"_{p[0]}_{p[1]}") for p in pairs}
+    left = names
+    for c in controls:
+        left = [v for v in left if v != c]
+        r = {frozenset((a, b)): F.try_divide(r[frozenset((a, b))] - r[frozenset((a, c))] * r[frozenset((b, c))], F.nullif(F.sqrt((1 - r[frozenset((a, c))] ** 2) * (1 - r[frozenset((b, c))] ** 2)), F.lit(0.0))) for i, a in enumerate(left) for b in left[i + 1 :]}
+    return out.select(*keys, "n", r[frozenset((x, y))].alias("r"))
+
+
+def variance_inflation(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(keys, variable, vif): diagonal of the inverse of the predictors' correlations, a small matrix a key."""
+    import numpy as np
+    import pandas as pd
+
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    out = df.dropna(subset=names).groupBy(*keys).agg(*[pearson(a, b).alias(f"_{a}_{b}") for a, b in pairs])
+
+    @F.pandas_udf("array<double>")
+    def diagonal(table: pd.DataFrame) -> pd.Series:
+        rows = []
+        for r in table.to_dict("records"):
+            m = np.eye(len(names))
+            for a, b in pairs:
+                i, j = names.index(a), names.index(b)
+                m[i, j] = m[j, i] = r[f"_{a}_{b}"]
+            rows.append(np.diag(np.linalg.pinv(m)).tolist() if np.isfinite(m).all() else [None] * len(names))
+        return pd.Series(rows)
+
+    out = out.withColumn("_v", diagonal(F.struct(*[f"_{a}_{b}" for a, b in pairs])))
+    return out.select(*keys, F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("variable"), F.col("_v").alias("vif"))).alias("_z")).select(*keys, F.col("_z.variable"), F.col("_z.vif"))
+
+
+def correlation_components(df: DataFrame, names: list[str], limit: float) -> dict[str, str]:
+    """First name of the component of each variable, two being linked by a correlation of ``limit`` or more; one row of sums comes back."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    row = df.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs]).first().asDict()
+    up = {n: n for n in names}
+
+    def top(n: str) -> str:
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        r = row[f"{a}|{b}"]
+        if r is not None and abs(r) >= limit:
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+    return {n: top(n) for n in names}
+
+
+def permutation_importance(df: DataFrame, keys: list[str], order: str, x: str, y: str) -> DataFrame:
+    """(keys, feature, importance): growth of the squared error of a regression when its predictor is shuffled within the key by a hash."""
+    by = Window.partitionBy(*keys)
+    rows = df.withColumn("_i", F.row_number().over(by.orderBy(order))).withColumn("_k", F.row_number().over(by.orderBy(F.md5(F.col(order).cast("string")))))
+    fit = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_b"))
+    shuffled = rows.join(rows.select(*keys, F.col("_k").alias("_i"), F.col(x).alias("_x")), [*keys, "_i"]).join(fit, keys)
+    error = lambda v: F.avg((F.col(y) - F.col("_b") - F.col("_s") * F.col(v)) ** 2)
+    return shuffled.groupBy(*keys).agg((error("_x") - error(x)).alias("importance")).withColumn("feature", F.lit(x))
