@@ -58,13 +58,13 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in blocks of about ``limit`` text bytes (a longer text is a block)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, row: int = 64) -> Iterator[pa.RecordBatch]:
+    """The same rows in blocks of about ``limit`` text bytes (a longer text is a block), a row counting ``row`` bytes more."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        block = (np.cumsum(size + 64) - size - 64) // limit
+        block = (np.cumsum(size + row) - size - row) // limit
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
@@ -72,8 +72,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 
 
 def texts_of(column: pa.Array) -> pa.Array:
-    """large_string without nulls."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """large_string without nulls, in memory of its own.
+
+    Kernels of pyarrow 23 that map bytes, ``ascii_lower`` among them, read from a wrong
+    place when they get the cast of a slice that doesn't start at its parent's first row.
+    """
+    own = pa.concat_arrays([column]) if not column.offset else column.take(pa.array(np.arange(len(column))))
+    return pc.fill_null(own.cast(pa.large_string()), "")
 
 
 def split(column: pa.Array, lower: bool = False) -> Words:
