@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from thalweg.llm.jaccard_join import keep_one_of_each, signatures, similar_components, similar_forest
+from thalweg.llm.jaccard_join import allocated, keep_one_of_each, signatures, similar_components, similar_forest
 
 from .common import empty, frame, odd_texts, prose
 
@@ -40,9 +40,14 @@ def test_pigeonhole_and_forest(seed):
     sets = [set(s) for s in sets]
     tokens = np.concatenate([np.sort(np.array(sorted(s), np.uint64)) for s in sets])
     offsets = np.r_[0, np.cumsum([len(s) for s in sets])]
-    owner, key = signatures(tokens, offsets, p)
+    unit, key, single = signatures(tokens, offsets, p)
+    copies = r.choice([1, 1, 5, 300])  # as if the sets were in so many more texts
+    number = np.unique(key, return_inverse=True)[1]
+    frequency = np.array([copies * x for x in np.bincount(number)])[number]
+    shared = np.bincount(number)[number] > 1
+    keep = allocated(p, np.diff(offsets), unit[shared], single[shared], frequency[shared])
     by = {}
-    for a, b in zip(owner.tolist(), key.tolist(), strict=True):
+    for a, b in zip((unit[shared][keep] >> 1).tolist(), key[shared][keep].tolist(), strict=True):
         by.setdefault(b, set()).add(a)
     candidates = {x for v in by.values() for x in itertools.combinations(sorted(v), 2)}
     linked = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j])}
@@ -103,3 +108,17 @@ def test_one_of_each_stays(spark, tmp_path):
 
 def test_empty(spark):
     assert similar_components(empty(spark)).count() == 0
+
+
+def test_blocks_smaller_than_a_batch(spark, monkeypatch):
+    """Many blocks a batch and a bucket of many blocks: links across blocks are found, lower-casing reads its own rows."""
+    from thalweg.llm import jaccard_join
+
+    texts = [edited(prose(900 + i % 40, 200), i, 1).title() for i in range(160)]
+    df = frame(spark, texts).coalesce(1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2000)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df).collect() if r.doc_id is not None}
+    sets = [shingles(x, 3) for x in texts]
+    linked = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+    assert len(linked) > 100
+    assert {i: (len(s), t) for i, (s, t) in enumerate(zip(sets, components(len(texts), linked), strict=True))} == {i: got[i] for i in range(len(texts))}
