@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (as in tests), one of this machine."""
+    """A new folder under spark.checkpoint.dir.
+
+    Where that is unset, in local mode one of this machine; on a cluster, whose machines share no such folder, an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
         top = tempfile.mkdtemp(prefix="thalweg-")
