@@ -74,3 +74,18 @@ def test_rules(spark):
     assert rows[n + 2].n_dup_lines == 2 and rows[n + 2].word_chars == 3
     assert repetition_rules(empty(spark)).count() == 0
     assert repetition_rules(frame(spark, odd_texts())).count() == len(odd_texts()) + 2
+
+
+def test_maximal_intervals_decide(monkeypatch):
+    """Without the intervals nothing is covered."""
+    from thalweg.llm import quality_repetition
+
+    t = " ".join(["a b c d e f"] * 8)
+    assert repetition(split(pa.array([t])), 4)["n_covered"].tolist() == [48]
+    monkeypatch.setattr(quality_repetition, "maximal_repeats", lambda *a: np.zeros((0, 3), np.int64))
+    assert repetition(split(pa.array([t])), 4)["n_covered"].tolist() == [0]
+
+
+def test_one_word_many_times():
+    got = repetition(split(pa.array(["x " * 50_000])))
+    assert got["n_covered"].tolist() == [50_000] and got["longest_repeat"].tolist() == [49_999]

@@ -6,9 +6,11 @@ suffixes of two texts never tie, and only suffixes that still tie are sorted
 again. The class of each position at each doubling step gives the longest common
 prefix of neighbours, high bit first. Intervals of the suffix array with one
 common prefix are the repeated word sequences; those whose occurrences follow
-different words are the maximal repeats. The union of the spans of all repeats
-of ``min_words`` words or more must stay within ``max_covered`` of a text's
-words, and the longest of them within ``max_longest`` words.
+different words are the maximal repeats. Every occurrence spans as many words as
+the deepest maximal interval that holds it; the union of these spans, of repeats
+of ``min_words`` words or more, must stay within ``max_covered`` of a text's
+words, and the longest of them within ``max_longest`` words. (Repeats that are not maximal
+lie in the spans of maximal ones.)
 
 Results for the odd cases: null, empty and blank texts have 0 words, base_failed
 true and kept false; every row, repeated ones included, gives one row; other
@@ -102,23 +104,42 @@ def maximal_repeats(words: Words, sa: np.ndarray, lcp: np.ndarray, least: int) -
     return found[turns[found[:, 1]] > turns[found[:, 0]]]
 
 
+def spans_of(found: np.ndarray, n: int) -> np.ndarray:
+    """For each of n slots of the suffix array the length of the deepest of the (nested) intervals that hold it, or 0."""
+    at, length, open_ends = [0], [0], [(n, 0)]
+    for left, right, size in found[np.lexsort((-found[:, 1], found[:, 0]))].tolist():
+        while open_ends[-1][0] <= left:
+            at.append(open_ends.pop()[0])
+            length.append(open_ends[-1][1])
+        open_ends.append((right + 1, size))
+        at.append(left)
+        length.append(size)
+    while len(open_ends) > 1:
+        at.append(open_ends.pop()[0])
+        length.append(open_ends[-1][1])
+    return np.repeat(np.array(length, np.int64), np.diff(at, append=n))
+
+
 def repetition(words: Words, least: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """Per text: words covered by repeats of 3 and of ``least`` words, the longest repeat, the number of maximal ones."""
+    """Per text: words covered by repeats of 3 words, by maximal ones of ``least``, the longest repeat, and the number of maximal ones."""
     n, texts = len(words.codes), len(words.offsets) - 1
     sa, lcp = suffix_array(words)
-    # each occurrence reaches as far as the deepest interval it is in; a repeat that is not maximal
-    # lies in the span of a maximal one, so these reaches have the union of all maximal repeats
-    reach = np.zeros(n, np.int64)
-    reach[sa] = np.maximum(lcp, np.r_[lcp[1:], 0]) if n else 0
     doc = words.doc
-    out = {}
-    for name, size in (("n_repeat_words", 3), ("n_covered", least)):
-        at = np.flatnonzero(reach >= size)
-        out[name] = np.bincount(doc[covered(at, reach[at], n)], minlength=texts).astype(np.int64)
-    longest = np.zeros(texts, np.int64)
-    np.maximum.at(longest, doc, reach)
+    # an occurrence of a 3-word window that is there twice shares three words with a neighbour
+    near = np.zeros(n, np.int64)
+    near[sa] = np.maximum(lcp, np.r_[lcp[1:], 0]) if n else 0
+    at = np.flatnonzero(near >= 3)
+    out = {"n_repeat_words": np.bincount(doc[covered(at, near[at], n)], minlength=texts).astype(np.int64)}
+    # the spans of the maximal repeats
     found = maximal_repeats(words, sa, lcp, least)
-    out["longest_repeat"] = longest
+    reach = np.zeros(n, np.int64)
+    reach[sa] = spans_of(found, n)
+    at = np.flatnonzero(reach)
+    out["n_covered"] = np.bincount(doc[covered(at, reach[at], n)], minlength=texts).astype(np.int64)
+    longest, short = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+    np.maximum.at(longest, doc, reach)
+    np.maximum.at(short, doc, near)
+    out["longest_repeat"] = np.where(longest > 0, longest, short)  # below ``least`` words there are no intervals
     out["n_maximal_repeats"] = np.bincount(doc[sa[found[:, 0]]], minlength=texts).astype(np.int64)
     return out
 
