@@ -8,8 +8,8 @@ nested row per capture. The rows of one payload may be a third of all: the
 payloads' winners are found by a partial aggregation, and of the joins only the
 split-on-skew kind reads the payloads.
 
-A record's identifier is a UUID whose digits hold the capture's number and kind,
-so a revisit's refers-to gives the page without another join.
+``captures`` takes lengths and digests from the blocks that it reads, and a revisit's
+page and length from the response whose record identifier its refers-to names.
 
 Results for the odd cases: a null html is an empty payload; a null url is written
 as an empty target and read back as null; rows with a null page_id are captures
@@ -73,7 +73,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = with_digests(pages, id_col, url_col, html_col)
     order = F.struct(F.col("page_id"), (-F.col("rec")).alias("first"))
     winners = rows.select("digest", "bytes", "page_id", "rec").where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max(order).alias("w"), F.count("*").alias("n")).where("n > 1")
-    winners = winners.select("digest", "bytes", (-F.col("w.first")).alias("winner"), F.col("w.page_id").alias("winner_page"))
+    winners = winners.select("digest", "bytes", (-F.col("w.first")).alias("winner"))
     full = rows.join(winners, ["digest", "bytes"], "left")
     original = F.col("winner").isNull() | (F.col("winner") == F.col("rec"))
     # the target is one header line: a control character would end it
@@ -91,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit(""),
         F.lit(0),
     )
-    fields = F.concat(*[F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit("")) for name, value in (("pageId", F.col("page_id")), ("payloadLength", F.col("bytes")), ("refersToPage", F.when(~original, F.col("winner_page"))))])
+    fields = F.concat(*[F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit("")) for name, value in (("pageId", F.col("page_id")),)])
     told = _record("metadata", date, [("WARC-Record-ID", _uuid(F.col("rec"), KINDS["metadata"])), ("WARC-Concurrent-To", to), ("WARC-Target-URI", target), ("Content-Type", F.lit("application/warc-fields"))], fields, F.octet_length(fields))
     records = full.select(F.concat(asked, F.lit(CRLF), F.when(original, got).otherwise(again), F.lit(CRLF), told).alias("value"))
     records.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
@@ -151,12 +151,24 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     path = path or shared_folder(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col, min_bytes)
     rows = assemble(read_archives(spark, path, payloads=False))
-    fields = F.col("metadata.fields")
-    return rows.select(
-        fields["pageId"].cast("long").alias(id_col),
-        fields["payloadLength"].cast("long").alias("payload_bytes"),
-        F.col("response.digest").alias("payload_digest"),
-        F.col("kind").alias("record_type"),
-        fields["refersToPage"].cast("long").alias("refers_to"),
+    read = rows.select(
+        F.col("metadata.fields")["pageId"].cast("long").alias("page"),
+        F.col("response.bytes").alias("payload_bytes"),
+        F.col("response.digest").alias("digest"),
+        "kind",
+        "capture_id",
+        F.col("response.refers_to").alias("to"),
         F.col("response.url").alias("url"),
     )
+    # a revisit's page and length are those of the response whose record it names; a response names itself
+    origin = read.where("kind = 'response'").select(F.col("capture_id").alias("to"), F.col("page").alias("origin"), F.col("payload_bytes").alias("origin_bytes"))
+    out = read.withColumn("to", F.coalesce("to", "capture_id")).join(origin, "to", "left")
+    revisit = F.col("kind") == "revisit"
+    return out.select(
+        F.col("page").alias(id_col),
+        F.when(revisit, F.col("origin_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.when(revisit, F.col("origin")).alias("refers_to"),
+        "url",
+    )
