@@ -60,3 +60,44 @@ def test_odd_cases(spark):
     assert {r.lang_pred for r in predict_languages(docs, None).collect()} == {"und"}
     kept = keep_identified(docs, model(), 0.3)
     assert kept.columns == docs.columns and 0 not in {r.doc_id for r in kept.collect()}
+
+
+def test_pair_marginals_are_exact():
+    r = np.random.default_rng(1)
+    words = split(pa.array([" ".join(f"w{i}" for i in range(n)) for n in (1, 2, PIECE, 2 * PIECE + 5, 0, 4)]))
+    p = pieces_of(words)
+    score, a = r.normal(size=(len(words.vocab), 3)).astype(np.float32), r.normal(size=(3, 3))
+    got = np.zeros((3, 3))
+    posteriors(score[words.codes[p.cell]], a, p, np.where(p.real, 1.0, 0.0), got)
+    want = np.zeros((3, 3))
+    for i, j in zip(words.offsets[:-1], words.offsets[1:], strict=True):
+        x, n = np.exp(score[words.codes[i:j]].astype(float)), j - i
+        f, b = np.zeros((n, 3)), np.ones((n, 3))
+        for t in range(n):
+            f[t] = ((f[t - 1] if t else np.full(3, 1 / 3)) @ np.exp(a)) * x[t]
+            f[t] /= f[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = np.exp(a) @ (x[t + 1] * b[t + 1])
+            b[t] /= b[t].sum()
+        for t in range(1, n):
+            m = f[t - 1][:, None] * np.exp(a) * (x[t] * b[t])[None, :]
+            want += m / m.sum()
+    assert np.abs(got - want).max() < 1e-3 * want.sum()
+
+
+def test_transitions_are_learned():
+    """Phrases stay in their language more often than they switch, and a word of no language takes its neighbours'."""
+    m = model()
+    off = m.transitions[~np.eye(2, dtype=bool)]
+    assert np.diag(m.transitions).min() > off.max() + 1
+    got = label_words("abc bcd cde ??? abc dea wxy vwx ??? xyz vwz", m)
+    assert got[3][1] == "aa" and got[8][1] == "zz"
+    flat = label_words("abc bcd cde ??? abc dea wxy vwx ??? xyz vwz", m._replace(transitions=np.zeros((2, 2))))
+    chance = lambda x: x[2] if x[1] == "aa" else 1 - x[2]
+    assert chance(flat[3]) < chance(got[3]) and chance(flat[3]) > chance(got[8])
+
+
+def test_lexicon_counts():
+    m = model()
+    known, bits = m.lexicon
+    assert len(known) and set(bits.tolist()) <= {1, 2, 3}

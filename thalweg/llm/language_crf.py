@@ -7,7 +7,12 @@ labelled word by word. A text's language is the one with the most posterior
 words, its score that share.
 
 The model is fitted on the driver on a bounded sample, ``per_language`` rows of
-each language (those of lowest hash of their identifier), by full-batch Adam.
+each language (those of lowest hash of their identifier), by full-batch Adam on the
+gradient of the likelihood: word posteriors for the features, pair marginals of
+forward-backward for the transitions. No labelled text switches languages, so the sample's
+texts are cut into phrases of 4 to 40 words, and sequences of phrases in a shuffled order are
+what the model learns from. The lexicon holds which languages' texts (``IN_TEXTS`` or more)
+have a word.
 Prediction reads every text whole. Forward-backward runs over pieces of
 ``PIECE`` words at once: the product of a piece's transfer matrices carries the
 messages from piece to piece, which gives the same posteriors as word by word.
@@ -34,6 +39,8 @@ from .words import MIX1, MIX2, Words, scramble, slices, split, texts_of
 #: Text bytes labelled at once.
 BLOCK = 3 << 20
 BITS, PIECE, PER_LANGUAGE, ROUNDS = 16, 64, 100, 30
+#: Words of a training sequence; least and most words of its phrases; texts of a language that put a word in its lexicon.
+SEQUENCE, PHRASE, IN_TEXTS = 512, (4, 40), 3
 UNKNOWN = "und"
 
 
@@ -41,6 +48,7 @@ class LanguageModel(NamedTuple):
     languages: list[str]
     weights: np.ndarray  #: (features, languages)
     transitions: np.ndarray  #: (languages, languages), log scores
+    lexicon: tuple[np.ndarray, np.ndarray]  #: sorted word numbers, and the bits of the languages that have each
 
 
 class Features(NamedTuple):
@@ -49,10 +57,11 @@ class Features(NamedTuple):
     owners: list[np.ndarray]
     numbers: list[np.ndarray]
     n: int
+    words: np.ndarray  #: number of each lower-cased word
 
 
-def word_features(vocab: pa.Array) -> Features:
-    """Character 2- and 3-grams with word marks, affixes of 1 to 3 characters (grams at the marks), and the word itself."""
+def word_features(vocab: pa.Array, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> Features:
+    """Character 2- and 3-grams with word marks, affixes of 1 to 3 characters (grams at the marks), the word itself, and its languages in the lexicon."""
     strings = vocab.cast(pa.large_string())
     lower = pc.utf8_lower(strings)
     size = pc.utf8_length(lower).to_numpy().astype(np.int64) + 2
@@ -82,8 +91,32 @@ def word_features(vocab: pa.Array) -> Features:
         powers = np.cumprod(np.r_[np.uint64(1), np.full(64, MIX1)])
         place = np.minimum(np.arange(len(points)) - first[word], 64)
         whole = np.add.reduceat(points * powers[place], first) if len(first) else np.zeros(0, np.uint64)
-        add(np.arange(len(size), dtype=np.int32), scramble(whole), 6 << 40)
-    return Features(owners, numbers, len(size))
+        whole = scramble(whole)
+        add(np.arange(len(size), dtype=np.int32), whole, 6 << 40)
+    out = Features(owners, numbers, len(size), whole)
+    return out if lexicon is None else with_lexicon(out, lexicon)
+
+
+def with_lexicon(f: Features, lexicon: tuple[np.ndarray, np.ndarray]) -> Features:
+    """Adds one feature a word: the set of languages that the lexicon gives it."""
+    known, bits = lexicon
+    at = np.minimum(np.searchsorted(known, f.words), max(len(known) - 1, 0))
+    mask = np.where(known[at] == f.words, bits[at], np.uint64(0)) if len(known) else np.zeros(f.n, np.uint64)
+    with np.errstate(over="ignore"):
+        number = ((scramble(mask + np.uint64(7 << 40)) * MIX2) >> np.uint64(64 - BITS)).astype(np.int32)
+    return f._replace(owners=[*f.owners, np.arange(f.n, dtype=np.int32)], numbers=[*f.numbers, number])
+
+
+def lexicon_of(words: Words, truth: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the languages of which ``IN_TEXTS`` texts or more have them; of over 64 languages, those numbered alike share a bit."""
+    n = len(words.vocab)
+    seen = np.unique(words.doc * np.int64(n) + words.codes)
+    pair, texts = np.unique(truth[seen // n] * np.int64(n) + seen % n, return_counts=True)
+    pair = pair[texts >= IN_TEXTS]
+    known, at = np.unique(numbers[pair % n], return_inverse=True)
+    bits = np.zeros(len(known), np.uint64)
+    np.bitwise_or.at(bits, at, np.uint64(1) << (pair // n % 64).astype(np.uint64))
+    return known, bits
 
 
 def emissions(weights: np.ndarray, f: Features) -> np.ndarray:
@@ -121,10 +154,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def posteriors(score: np.ndarray, transitions: np.ndarray, p: Pieces) -> np.ndarray:
+def posteriors(score: np.ndarray, transitions: np.ndarray, p: Pieces, weigh: np.ndarray | None = None, pairs: np.ndarray | None = None) -> np.ndarray:
     """Posterior (PIECE, pieces, languages) of every word from its scores of that shape.
 
-    Cells after a text's end are in its last piece, whose messages onwards nobody reads.
+    Cells after a text's end are in its last piece, whose messages onwards nobody reads. With ``weigh`` (PIECE, pieces),
+    the marginals of every word with the one before it are added to ``pairs`` (languages, languages), weighed.
     """
     _, m, k = score.shape
     e = np.exp(np.maximum(score - score.max(axis=2, keepdims=True), -60)).astype(np.float32)
@@ -163,8 +197,14 @@ def posteriors(score: np.ndarray, transitions: np.ndarray, p: Pieces) -> np.ndar
         out[t] = f
     b = behind
     for t in range(PIECE - 1, -1, -1):
+        here = b * e[t]
+        if pairs is not None:
+            before = out[t - 1] if t else ahead  # forward messages up to here
+            on = p.real[t] if t else p.real[t] & (p.place > 0)
+            share = np.where(on, weigh[t] / np.maximum(((before @ a) * here).sum(axis=1), 1e-30), 0)
+            pairs += ((before * share[:, None]).T @ here) * a
         out[t] *= b
-        on = _unit((b * e[t]) @ a.T)
+        on = _unit(here @ a.T)
         b = on if p.real[t].all() else np.where(p.real[t, :, None], on, b)
     return _unit(out)
 
@@ -175,38 +215,61 @@ def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS, l2: float = 1
     words = split(pa.array(texts, pa.large_string()))
     if not len(words.codes):
         return None
-    k, n = len(languages), len(words.codes)
+    k = len(languages)
     truth = np.array([languages.index(x) for x in labels])
     f = word_features(words.vocab)
+    lexicon = lexicon_of(words, truth, f.words)
+    f = with_lexicon(f, lexicon)
+    words, target = switched(words, truth)
+    n = len(words.codes)
     p = pieces_of(words)
-    code = words.codes[p.cell]
-    target = truth[p.text]
-    share = 1.0 / np.bincount(truth, words.lengths, k).clip(1)[target] / k  # each language counts alike
-    weigh = np.where(p.real, share, 0.0)
+    code, target = words.codes[p.cell], target[p.cell]
+    share = 1.0 / np.bincount(target[p.real], minlength=k).clip(1) / k  # each language counts alike
+    weigh = np.where(p.real, share[target], 0.0)
     w, a = np.zeros((1 << BITS, k), np.float32), np.zeros((k, k))
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, a)]
-    links = np.bincount(target, (p.real.sum(axis=0) - 1) * share, k)
+    # transitions that are there: from every word of a sequence but its last to the next one
+    label = np.zeros(n, np.int64)
+    label[p.cell[p.real]] = target[p.real]
+    inner = np.ones(n, bool)
+    inner[words.offsets[:-1][words.lengths > 0]] = False
+    at = np.flatnonzero(inner)
+    there = np.bincount(label[at - 1] * k + label[at], share[label[at]], k * k).reshape(k, k)
+    pieces, cells = np.arange(code.shape[1]), np.arange(PIECE)[:, None]
     for turn in range(1, rounds + 1):
-        q = posteriors(emissions(w, f)[code], a, p)
+        pairs = np.zeros((k, k))
+        q = posteriors(emissions(w, f)[code], a, p, weigh, pairs)
         gap = q * weigh[:, :, None]
-        gap[:, np.arange(len(target)), target] -= weigh
+        gap[cells, pieces, target] -= weigh
         per_word = np.stack([np.bincount(code.ravel(), gap[:, :, c].ravel(), f.n) for c in range(k)], axis=1)
         grad_w = l2 * w / n
         for owner, number in zip(f.owners, f.numbers, strict=True):
             for c in range(k):
                 grad_w[:, c] += np.bincount(number, per_word[owner, c], 1 << BITS)
-        # expected transitions, from neighbours' posteriors joined by the present model
-        both = np.einsum("tpi,tpj->ij", q[:-1] * weigh[1:, :, None], q[1:]) * np.exp(a - a.max())
-        both *= links.sum() / max(both.sum(), 1e-12)
-        grad_a = both - np.diag(links) + l2 * a
+        grad_a = pairs - there + l2 * a / n
         for x, g, (m1, m2) in zip((w, a), (grad_w, grad_a), moments, strict=True):
             m1 *= 0.9
             m1 += 0.1 * g
             m2 *= 0.99
             m2 += 0.01 * g * g
             x -= rate * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.99**turn)) + 1e-8)
-        np.clip(a, -2.0, 2.0, out=a)  # labels never change inside a training text; text to label may
-    return LanguageModel(languages, w, a)
+    return LanguageModel(languages, w, a, lexicon)
+
+
+def switched(words: Words, truth: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Sequences of phrases cut from all texts, in an order that is shuffled the same way each time, and the language of each word."""
+    r = np.random.default_rng(0)
+    starts, ends = [], []
+    for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True):
+        while a < b:
+            starts.append(a)
+            a = min(b, a + int(r.integers(PHRASE[0], PHRASE[1] + 1)))
+            ends.append(a)
+    order = r.permutation(len(starts))
+    starts, ends = np.array(starts)[order], np.array(ends)[order]
+    size = ends - starts
+    at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return Words(words.codes[at], words.vocab, np.r_[np.arange(0, len(at), SEQUENCE), len(at)]), truth[words.doc[at]]
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, folds: int) -> list:
@@ -242,7 +305,7 @@ def predict(column: pa.Array, model: LanguageModel | None) -> tuple[list[str], n
     if model is None or not len(words.codes):
         return label.tolist(), score
     p = pieces_of(words)
-    q = posteriors(emissions(model.weights, word_features(words.vocab))[words.codes[p.cell]], model.transitions, p)
+    q = posteriors(emissions(model.weights, word_features(words.vocab, model.lexicon))[words.codes[p.cell]], model.transitions, p)
     q[~p.real] = 0
     total = np.zeros((n, len(model.languages)))
     np.add.at(total, p.text, q.sum(axis=0, dtype=np.float64))
@@ -259,7 +322,7 @@ def label_words(text: str, model: LanguageModel) -> list[tuple[str, str, float]]
     if not len(words.codes):
         return []
     p = pieces_of(words)
-    q = posteriors(emissions(model.weights, word_features(words.vocab))[words.codes[p.cell]], model.transitions, p)
+    q = posteriors(emissions(model.weights, word_features(words.vocab, model.lexicon))[words.codes[p.cell]], model.transitions, p)
     q = q.transpose(1, 0, 2)[p.real.T]
     vocab = words.vocab.to_pylist()
     return [(vocab[c].decode(), model.languages[r.argmax()], float(r.max())) for c, r in zip(words.codes, q, strict=True)]
