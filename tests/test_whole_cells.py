@@ -23,7 +23,7 @@ def series(spark):
     return spark.createDataFrame(out, "cell int, t date, e int, x double, y double").cache(), out
 
 
-@pytest.mark.parametrize("name", ["circular_shift_null_cells", "kruskal_effect_cells", "block_bootstrap", "event_bootstrap_lags", "circular_event_roll_cells"])
+@pytest.mark.parametrize("name", ["circular_shift_null", "kruskal_effect", "block_bootstrap", "event_bootstrap_lags", "circular_event_roll"])
 def test_every_cell(spark, name):
     cells = {r.pixel_id for r in lagged_pairs(spark, SF).select("pixel_id").distinct().collect()}
     assert len(cells) > 5
@@ -32,7 +32,7 @@ def test_every_cell(spark, name):
 
 def test_feature_matrix_keeps_every_value(spark):
     cube = {(r.d, r.pixel_id): r.v for r in cube_daily(spark, SF).collect()}
-    rows = registry.QUERIES["feature_matrix_cells"](spark, SF).collect()
+    rows = registry.QUERIES["feature_matrix"](spark, SF).collect()
     got = {(r.d, int(c[5:])): v for r in rows for c, v in r.asDict().items() if c.startswith("cell_") and v is not None}
     assert got == cube and len(rows[0]) == 27
 

@@ -28,6 +28,11 @@ def longitude_label(lon: Column) -> Column:
     return F.when(east > 180, F.concat(F.round(360 - east).cast("int").cast("string"), F.lit("W"))).otherwise(F.concat(F.round(east).cast("int").cast("string"), F.lit("E")))
 
 
+def hash32(*parts: Column | str) -> Column:
+    """A number under 2**32 from texts, the same on every engine: the first eight digits of their MD5, joined by bars."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+
 def truth(text: Column) -> Column:
     """true, 1, yes, y in any case."""
     return F.coalesce(F.lower(F.trim(text.cast("string"))).isin("true", "1", "yes", "y"), F.lit(False))

@@ -50,7 +50,7 @@ def source_detrended(df: DataFrame, keys: list[str], base: Column, day: str = "d
     """Adds detrended: each source's linear trend over its base rows, removed about the base's centre; unchanged with too few rows."""
     t = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("double")
     fit = df.where(base & F.col(value).isNotNull()).groupBy(*keys).agg(F.regr_slope(F.col(value), t).alias("slope"), F.avg(t).alias("centre"), F.count("*").alias("rows"))
-    out = df.join(F.broadcast(fit), keys, "left")
+    out = df.join(fit, keys, "left")
     return out.withColumn("detrended", F.when(F.col("rows") >= least, F.col(value) - F.col("slope") * (t - F.col("centre"))).otherwise(F.col(value))).drop("rows", "centre")
 
 
@@ -64,13 +64,13 @@ def iso_week_robust(weekly: DataFrame, keys: list[str] = (), week_end: str = "we
     # the slot of week 53 also holds its neighbours, every other slot its own rows
     centres = spread.groupBy(*keys, F.col("_w").alias("week")).agg(F.median(value).alias("slot"), F.count(value).alias("n"))
     pooled = rows.groupBy(*keys).agg(F.median(value).alias("pooled"))
-    joined = rows.join(F.broadcast(centres), [*keys, "week"], "left")
-    joined = joined.join(F.broadcast(pooled), keys, "left") if keys else joined.crossJoin(F.broadcast(pooled))
+    joined = rows.join(centres, [*keys, "week"], "left")
+    joined = joined.join(pooled, keys, "left") if keys else joined.crossJoin(F.broadcast(pooled))
     joined = joined.withColumn("centre", F.when(F.col("n") >= least_years, F.col("slot")).otherwise(F.col("pooled"))).withColumn("dev", F.abs(F.col(value) - F.col("centre")))
     seasonal = joined.groupBy(*keys, "week").agg((F.median("dev") * 1.4826).alias("mad_season"))
     total = joined.groupBy(*keys).agg((F.median("dev") * 1.4826).alias("mad_pool"), (F.avg("dev") * math.sqrt(math.pi / 2)).alias("l1_pool"))
-    joined = joined.join(F.broadcast(seasonal), [*keys, "week"], "left")
-    joined = joined.join(F.broadcast(total), keys, "left") if keys else joined.crossJoin(F.broadcast(total))
+    joined = joined.join(seasonal, [*keys, "week"], "left")
+    joined = joined.join(total, keys, "left") if keys else joined.crossJoin(F.broadcast(total))
     scales = ["mad_season", "mad_pool", "l1_pool"]
     kept = [F.when(F.col(s) >= floor, F.col(s)) for s in scales]
     best = F.greatest(*kept)
@@ -121,7 +121,7 @@ def harmonic_anomaly(df: DataFrame, keys: list[str] = (), day: str = "d", value:
         return pd.Series(out)
 
     coefficients = kept.select(*keys, solved(F.struct(*[c for c in kept.columns if c not in keys])).alias("_c"))
-    joined = rows.join(F.broadcast(coefficients), list(keys), "left") if keys else rows.crossJoin(F.broadcast(coefficients))
+    joined = rows.join(coefficients, list(keys), "left") if keys else rows.crossJoin(F.broadcast(coefficients))
     fitted = sum((F.col("_c")[k] * F.col(names[k]) for k in range(1, p)), F.col("_c")[0] * F.col(names[0]))
     return joined.withColumn("fitted", fitted).withColumn("anomaly", F.col(value) - F.col("fitted")).drop(*names, "_c")
 
@@ -132,7 +132,7 @@ def spi(weekly: DataFrame, keys: list[str] = (), week_end: str = "week_end", val
     rows = weekly.withColumn("accumulated", F.when(F.count(value).over(w) == weeks, F.sum(value).over(w))).withColumn("week", F.weekofyear(week_end))
     wet = F.when(F.col("accumulated") > 0, F.col("accumulated"))
     fit = rows.groupBy(*keys, "week").agg(F.avg(wet).alias("mean"), F.var_samp(wet).alias("var"), F.avg(F.when(F.col("accumulated") == 0, 1.0).when(F.col("accumulated").isNotNull(), 0.0)).alias("q"))
-    joined = rows.join(F.broadcast(fit), [*keys, "week"], "left")
+    joined = rows.join(fit, [*keys, "week"], "left")
 
     @F.pandas_udf("double")
     def score(x: pd.Series, mean: pd.Series, var: pd.Series, q: pd.Series) -> pd.Series:

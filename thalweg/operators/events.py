@@ -67,7 +67,7 @@ def percentile_runs(df: DataFrame, keys: list[str], share: float, least: int, da
     Values are the excess over the threshold; the centroid is the intensity-weighted mean day.
     """
     limits = df.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("limit"))
-    rows = df.join(F.broadcast(limits), keys).withColumn("excess", F.col(value) - F.col("limit")).withColumn("on", F.col("excess") > 0)
+    rows = df.join(limits, keys).withColumn("excess", F.col(value) - F.col("limit")).withColumn("on", F.col("excess") > 0)
     number = F.datediff(day, F.lit("1970-01-01"))
     rows = islands(rows, "on", keys, day, number).where("on").withColumn("n", number)
     runs = rows.groupBy(*keys, "run").agg(
@@ -80,7 +80,7 @@ def percentile_runs(df: DataFrame, keys: list[str], share: float, least: int, da
 def dry_wet(df: DataFrame, keys: list[str], low: float = 0.1, high: float = 0.9, value: str = "v") -> DataFrame:
     """Adds is_dry and is_wet by the cell's percentiles, ends included."""
     limits = df.groupBy(*keys).agg(F.percentile(value, F.lit(low)).alias("dry_limit"), F.percentile(value, F.lit(high)).alias("wet_limit"))
-    out = df.join(F.broadcast(limits), keys)
+    out = df.join(limits, keys)
     return out.withColumn("is_dry", F.col(value) <= F.col("dry_limit")).withColumn("is_wet", F.col(value) >= F.col("wet_limit"))
 
 
@@ -91,7 +91,7 @@ def weekly_extremes(df: DataFrame, keys: list[str], day: str = "d", value: str =
     number = F.datediff(day, F.lit("1970-01-01"))
     limit = df.where(F.col(value) >= wet).groupBy(*keys).agg(F.when(F.count("*") >= least_wet, F.percentile(value, F.lit(share))).alias("limit"))
     span = Window.partitionBy(*keys, "week_end").orderBy(number).rangeBetween(-4, 0)
-    rows = rows.join(F.broadcast(limit), keys, "left").withColumn("five", F.when(F.count(value).over(span) == 5, F.sum(value).over(span)))
+    rows = rows.join(limit, keys, "left").withColumn("five", F.when(F.count(value).over(span) == 5, F.sum(value).over(span)))
     rows = islands(rows, "is_wet", [*keys, "week_end"], day, number)
     rows = rows.withColumn("size", F.count("*").over(Window.partitionBy(*keys, "week_end", "is_wet", "run")))
     return rows.groupBy(*keys, "week_end").agg(

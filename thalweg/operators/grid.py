@@ -52,7 +52,7 @@ def dipole_index(df: DataFrame, west_box: tuple, east_box: tuple, day: str = "d"
 def unit_mean(df: DataFrame, membership: DataFrame, least: float = 0.8, value: str = "v", keys: tuple[str, ...] = ("d",)) -> DataFrame:
     """(keys, unit, mean, coverage) of units from (pixel_id, unit, weight); null where too little of the weight has values."""
     total = membership.groupBy("unit").agg(F.sum("weight").alias("whole"))
-    rows = df.join(F.broadcast(membership), "pixel_id").where(F.col(value).isNotNull())
+    rows = df.join(membership, "pixel_id").where(F.col(value).isNotNull())
     sums = rows.groupBy(*keys, "unit").agg(F.sum(F.col(value) * F.col("weight")).alias("s"), F.sum("weight").alias("w")).join(F.broadcast(total), "unit")
     coverage = F.col("w") / F.col("whole")
     return sums.select(*keys, "unit", F.when(coverage >= least, F.col("s") / F.col("w")).alias("mean"), coverage.alias("coverage"))

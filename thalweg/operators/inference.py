@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import t_two_sided
+from ..functions.text import hash32
 from .stats import pearson
 
 
@@ -50,24 +51,23 @@ def event_regression(df: DataFrame, event: str, x: str, y: str, order: str, lags
     return out.withColumn("t", F.try_divide("slope", F.nullif("se", F.lit(0.0))))
 
 
+def drawn_units(units: DataFrame, keys: list[str], unit: str, draws: int, seed: int = 42) -> DataFrame:
+    """(keys, unit, draw, times): how often each unit of a key is taken in each draw with replacement. A key has few units (years, events)."""
+    by = Window.partitionBy(*keys)
+    known = units.select(*keys, unit).withColumn("_i", (F.row_number().over(by.orderBy(unit)) - 1).cast("long")).withColumn("_n", F.count("*").over(by))
+    slots = known.select(*keys, "_n", F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    picks = slots.withColumn("_i", F.floor(hash32(F.lit(seed), F.col("draw"), F.col("_slot")) * F.col("_n") / 4294967296).cast("long"))
+    return picks.groupBy(*keys, "draw", "_i").agg(F.count("*").alias("times")).join(known.select(*keys, "_i", unit), [*keys, "_i"]).drop("_i")
+
+
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, unit: str, draws: int = 500, seed: int = 42) -> DataFrame:
     """(keys, n_units, mean, low, high): percentile interval of the mean over units drawn with replacement.
 
-    Each unit's weight in a draw is a Poisson count from a hash of (seed, draw, unit), so draws need no shuffle of
-    their own and are the same each time.
+    A draw takes as many units of a key as it has; hashes say which, so it is the same each time.
     """
     each = df.groupBy(*keys, unit).agg(F.avg(value).alias("_v"))
-    drawn = each.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_d", F.col(unit).cast("string")), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    cuts, p, total = [], 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 8):  # P(count <= k - 1) of a Poisson count of mean 1
-        cuts.append(total)
-        p /= k
-        total += p
-    weight = F.lit(0)
-    for k, c in enumerate(cuts, 1):
-        weight = F.when(u >= c, k).otherwise(weight)
-    means = drawn.withColumn("_w", weight).groupBy(*keys, "_d").agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.nullif(F.sum("_w").cast("double"), F.lit(0.0))).alias("_m"))
+    taken = drawn_units(each, keys, unit, draws, seed)
+    means = taken.join(each, [*keys, unit]).groupBy(*keys, "draw").agg(F.try_divide(F.sum(F.col("_v") * F.col("times")), F.sum("times").cast("double")).alias("_m"))
     spread = means.groupBy(*keys).agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))
     centre = each.groupBy(*keys).agg(F.count("*").alias("n_units"), F.avg("_v").alias("mean"))
     return centre.join(spread, keys) if keys else centre.crossJoin(spread)

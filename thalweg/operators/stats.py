@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.special import chi2_sf, ndtr, t_two_sided
+from ..functions.text import hash32
 
 
 def pearson(x: str | Column, y: str | Column) -> Column:
@@ -75,13 +76,28 @@ def fisher_interval(r: Column, n: Column, z: float = 1.959963984540054) -> tuple
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
-    """Adds q: the least p * m / rank of this or a larger p; null for a null p, which counts for nothing."""
-    w = Window.partitionBy(*keys)
+    """Adds q: the least p * m / rank of this or a larger p; null for a null p, which counts for nothing.
+
+    Ranks are counted in strips of p, an eighth of a power of two wide and 64 times as fine near 1, so that many rows
+    without keys are many tasks; the strips of a key are a table of bounded size, over which counts and least values are carried on.
+    """
     ok = F.col(p).isNotNull()
-    rank = F.row_number().over(Window.partitionBy(*keys, ok).orderBy(F.col(p).asc()))
-    out = df.withColumn("_q", F.when(ok, F.col(p) * F.count(p).over(w) / rank)).withColumn("_k", rank)
-    tail = Window.partitionBy(*keys, ok).orderBy("_k").rowsBetween(0, Window.unboundedFollowing)
-    return out.withColumn("q", F.when(ok, F.least(F.lit(1.0), F.min("_q").over(tail)))).drop("_q", "_k")
+    log = -F.log2(F.greatest(F.col(p), F.lit(1e-300)))
+    strip = F.when(ok, F.when(log < 4, 100_000 - F.floor(log * 512)).otherwise(90_000 - F.floor(log * 8))).cast("int")
+    rows = df.withColumn("_strip", strip)
+    same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
+    sizes = rows.where(ok).groupBy(*keys, "_strip").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*keys)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(by.orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_m", F.sum("_n").over(by)).drop("_n")
+    joined = rows.alias("_l").join(sizes.alias("_r"), [*same, F.col("_l._strip") == F.col("_r._strip")], "left").select("_l.*", "_r._before", "_r._m")
+    inside = Window.partitionBy(*keys, "_strip")
+    joined = joined.withColumn("_k", F.when(ok, F.row_number().over(inside.orderBy(F.col(p).asc()))))
+    joined = joined.withColumn("_q", F.when(ok, F.col(p) * F.col("_m") / (F.col("_before") + F.col("_k"))))
+    least = joined.where(ok).groupBy(*keys, "_strip").agg(F.min("_q").alias("_least"))
+    least = least.withColumn("_after", F.min("_least").over(by.orderBy("_strip").rowsBetween(1, Window.unboundedFollowing))).drop("_least")
+    out = joined.alias("_l").join(least.alias("_r"), [*same, F.col("_l._strip") == F.col("_r._strip")], "left").select("_l.*", "_r._after")
+    tail = F.min("_q").over(inside.orderBy("_k").rowsBetween(0, Window.unboundedFollowing))
+    return out.withColumn("q", F.when(ok, F.least(F.lit(1.0), tail, F.col("_after")))).select(*df.columns, "q")
 
 
 def simes(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
@@ -121,7 +137,7 @@ def shift_p(null: DataFrame, observed: Column | float) -> DataFrame:
 def friedman(df: DataFrame, block: str, treatment: str, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, n, k, chi2, w): Friedman's statistic over blocks that have every treatment, and Kendall's W."""
     k = df.groupBy(*keys).agg(F.countDistinct(treatment).alias("k"))
-    rows = df.join(F.broadcast(k), list(keys)) if keys else df.crossJoin(F.broadcast(k))
+    rows = df.join(k, list(keys)) if keys else df.crossJoin(F.broadcast(k))
     b = Window.partitionBy(*keys, block)
     rows = rows.withColumn("_c", F.count(value).over(b)).where(F.col("_c") == F.col("k"))
     rank = F.rank().over(b.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, block, value)) - 1) / 2.0
@@ -167,7 +183,7 @@ def block_bootstrap(df: DataFrame, order: str, x: str, y: str, block: int, draws
     starts = starts.withColumn("_s", F.row_number().over(Window.partitionBy(*keys).orderBy("_i")) - 1).select(*keys, "_s", F.col("_i").alias("first"))
     counts = beside(rows.groupBy(*keys).agg(F.count("*").alias("n")), starts.groupBy(*keys).agg(F.count("*").alias("m"))).where("m > 0")
     picks = counts.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), F.ceil(F.col("n") / block).cast("int").alias("per"))
-    picks = picks.select(*keys, "draw", "m", F.explode(F.sequence(F.lit(0), F.col("per") - 1)).alias("place")).withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), "draw", "place"), F.col("m")).cast("int"))
+    picks = picks.select(*keys, "draw", "m", F.explode(F.sequence(F.lit(0), F.col("per") - 1)).alias("place")).withColumn("_s", (hash32(F.lit(seed), F.col("draw"), F.col("place")) % F.col("m")).cast("int"))
     taken = picks.join(starts, [*keys, "_s"]).select(*keys, "draw", F.explode(F.sequence(F.col("first"), F.col("first") + block - 1)).alias("_i")).join(rows.select(*keys, "_i", x, y), [*keys, "_i"])
     each = taken.groupBy(*keys, "draw").agg(pearson(x, y).alias("r"))
     seen = ok.groupBy(*keys).agg(pearson(x, y).alias("r0"))

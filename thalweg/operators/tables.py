@@ -22,7 +22,7 @@ def robust_scales(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     import math
 
     centre = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    joined = df.join(F.broadcast(centre), keys) if keys else df.crossJoin(F.broadcast(centre))
+    joined = df.join(centre, keys) if keys else df.crossJoin(F.broadcast(centre))
     dev = F.abs(F.col(value) - F.col("median"))
     return joined.groupBy(*keys, "median").agg((F.median(dev) * 1.4826).alias("mad"), (F.avg(dev) * math.sqrt(math.pi / 2)).alias("l1"))
 

@@ -197,17 +197,9 @@ def leave_one_event_out(spark, sf_dir):
 SHIFTS = [30, 60, 90, 120, 150]
 
 
-@query(f"""WITH {LAGGED}, z AS (SELECT row_number() OVER (ORDER BY week_end) - 1 AS i, count(*) OVER () AS n, x, v FROM pairs WHERE lag = 0 AND pixel_id = 0)
-SELECT s::INT AS shift, round(corr(a.x, b.v), 6) AS r FROM z a, (VALUES (30), (60), (90), (120), (150)) t(s), z b WHERE b.i = (a.i + s) % a.n GROUP BY s""")
-def circular_shift_null(spark, sf_dir):
-    rows = lagged_pairs(spark, sf_dir).where("lag = 0 and pixel_id = 0")
-    return rounded(stats.circular_shifts(rows, "week_end", "x", "v", SHIFTS))
-
-
 @query(f"""WITH {LAGGED}, z AS (SELECT pixel_id, row_number() OVER (PARTITION BY pixel_id ORDER BY week_end) - 1 AS i, count(*) OVER (PARTITION BY pixel_id) AS n, x, v FROM pairs WHERE lag = 0)
 SELECT a.pixel_id, s::INT AS shift, round(corr(a.x, b.v), 6) AS r FROM z a, (VALUES (30), (60), (90), (120), (150)) t(s), z b WHERE b.pixel_id = a.pixel_id AND b.i = (a.i + s) % a.n GROUP BY ALL""")
-def circular_shift_null_cells(spark, sf_dir):
-    """circular_shift_null of every cell."""
+def circular_shift_null(spark, sf_dir):
     return rounded(stats.circular_shifts(lagged_pairs(spark, sf_dir).where("lag = 0"), "week_end", "x", "v", SHIFTS, ("pixel_id",)))
 
 
@@ -225,25 +217,19 @@ def friedman_w(spark, sf_dir):
     return rounded(stats.friedman(yearly(spark, sf_dir), "y", "q", "v", ("pixel_id",)))
 
 
-@query(f"""WITH {CUBE}, m AS (SELECT pixel_id, month(d) AS g, v FROM cube WHERE pixel_id < 5), b AS (SELECT pixel_id, g, rank() OVER (PARTITION BY pixel_id ORDER BY v) + (count(*) OVER (PARTITION BY pixel_id, v) - 1) / 2.0 AS r FROM m),
-e AS (SELECT pixel_id, g, sum(r)::DOUBLE AS s, count(*) AS n FROM b GROUP BY ALL HAVING count(*) >= 10), t AS (SELECT pixel_id, sum(n)::BIGINT AS n, count(*) AS k, sum(s * s / n) AS t FROM e GROUP BY 1), h AS (SELECT *, 12.0::DOUBLE / (n * (n + 1.0)) * t - 3.0 * (n + 1) AS h FROM t)
-SELECT pixel_id, n, k, round(h, 5) AS h, round(greatest(0.0::DOUBLE, (h - k + 1) / (n - k)), 6) AS epsilon2 FROM h""")
-def kruskal_effect(spark, sf_dir):
-    rows = cube_daily(spark, sf_dir).where("pixel_id < 5").withColumn("g", F.month("d"))
-    out = stats.kruskal(rows, "g", "v", ("pixel_id",))
-    return out.select("pixel_id", "n", "k", F.round("h", 5).alias("h"), F.round("epsilon2", 6).alias("epsilon2"))
-
-
 @query(f"""WITH {CUBE}, b AS (SELECT pixel_id, month(d) AS g, rank() OVER (PARTITION BY pixel_id ORDER BY v) + (count(*) OVER (PARTITION BY pixel_id, v) - 1) / 2.0 AS r FROM cube),
 e AS (SELECT pixel_id, g, sum(r)::DOUBLE AS s, count(*) AS n FROM b GROUP BY ALL HAVING count(*) >= 10), t AS (SELECT pixel_id, sum(n)::BIGINT AS n, count(*) AS k, sum(s * s / n) AS t FROM e GROUP BY 1), h AS (SELECT *, 12.0::DOUBLE / (n * (n + 1.0)) * t - 3.0 * (n + 1) AS h FROM t)
 SELECT pixel_id, n, k, round(h, 5) AS h, round(greatest(0.0::DOUBLE, (h - k + 1) / (n - k)), 6) AS epsilon2 FROM h""")
-def kruskal_effect_cells(spark, sf_dir):
-    """kruskal_effect of every cell."""
+def kruskal_effect(spark, sf_dir):
     out = stats.kruskal(cube_daily(spark, sf_dir).withColumn("g", F.month("d")), "g", "v", ("pixel_id",))
     return out.select("pixel_id", "n", "k", F.round("h", 5).alias("h"), F.round("epsilon2", 6).alias("epsilon2"))
 
 
-@query()
+@query(f"""WITH {LAGGED}, o AS (SELECT pixel_id, week_end, x, v, row_number() OVER (PARTITION BY pixel_id ORDER BY week_end) - 1 AS i FROM pairs WHERE lag = 0 AND x IS NOT NULL AND v IS NOT NULL), g AS (SELECT *, (week_end - DATE '1970-01-01') - (i + 1) * 7 AS run FROM o),
+h AS (SELECT pixel_id, i, count(*) OVER (PARTITION BY pixel_id, run ORDER BY i ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING) AS size FROM g), b AS (SELECT pixel_id, i AS first, row_number() OVER (PARTITION BY pixel_id ORDER BY i) - 1 AS s FROM h WHERE size = 26),
+c AS (SELECT * FROM (SELECT pixel_id, count(*) AS n FROM o GROUP BY 1) JOIN (SELECT pixel_id, count(*) AS m FROM b GROUP BY 1) USING (pixel_id)), p AS (SELECT pixel_id, m, draw, unnest(range(ceil(n / 26.0)::BIGINT)) AS place FROM c, range(200) r(draw)),
+k AS (SELECT p.pixel_id, draw, first FROM (SELECT *, ('0x' || substr(md5('42|' || draw || '|' || place), 1, 8))::BIGINT % m AS s FROM p) p JOIN b USING (pixel_id, s)), t AS (SELECT k.pixel_id, draw, corr(x, v) AS r FROM k JOIN o ON o.pixel_id = k.pixel_id AND o.i BETWEEN first AND first + 25 GROUP BY ALL), z AS (SELECT pixel_id, corr(x, v) AS r0 FROM o GROUP BY 1)
+SELECT pixel_id, count(r) AS n_draws, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high, round(avg((sign(r) = sign(r0))::INT), 6) AS same_sign FROM z LEFT JOIN t USING (pixel_id) GROUP BY 1""")
 def block_bootstrap(spark, sf_dir):
     rows = lagged_pairs(spark, sf_dir).where("lag = 0")
     return rounded(stats.block_bootstrap(rows, "week_end", "x", "v", 26, 200, keys=("pixel_id",)))
@@ -458,7 +444,9 @@ def labels_and_seeds(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", text.longitude_label(F.col("n_nationkey") * 14.4).alias("label"), text.stable_seed(F.lit(42), F.col("n_nationkey")).alias("seed"))
 
 
-@query()
+@query("""WITH c AS (SELECT abs(corr(l_extendedprice, l_quantity)) AS eq, abs(corr(l_discount, l_quantity)) AS dq, abs(corr(l_discount, l_extendedprice)) AS de, abs(corr(l_tax, l_quantity)) AS tq, abs(corr(l_tax, l_extendedprice)) AS te, abs(corr(l_tax, l_discount)) AS td FROM lineitem),
+a AS (SELECT *, eq < 0.9 AS e, dq < 0.9 AND (eq >= 0.9 OR de < 0.9) AS d FROM c), k AS (SELECT *, tq < 0.9 AND (NOT e OR te < 0.9) AND (NOT d OR td < 0.9) AS t FROM a),
+v AS (SELECT 0 AS i, 'l_quantity' AS variable, true AS kept FROM k UNION ALL SELECT 1, 'l_extendedprice', e FROM k UNION ALL SELECT 2, 'l_discount', d FROM k UNION ALL SELECT 3, 'l_tax', t FROM k) SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INT) AS place, variable FROM v WHERE kept""")
 def redundancy_filter(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     kept = tables.redundancy_filter(rows, rows.columns, 0.9)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import grid, stats, vertical, windows
+from ..functions.text import hash32
+from ..operators import grid, inference, stats, vertical, windows
 from ..sources.views import CUBE, cube_daily, table
 from .analysis import LAGGED, lagged_pairs
 from .series import CUBE_WEEKLY, EVENTS, ONI, PHASES, WEEKLY, cube_weekly, events, oni, phase_table, rounded, weekly_signal
@@ -36,7 +37,7 @@ def fold_transformer(spark, sf_dir):
     centre = train.groupBy("pixel_id", "wk").agg(F.median("v").alias("m"))
     pooled = train.groupBy("pixel_id").agg(F.median("v").alias("pm"))
     scale = train.join(centre, ["pixel_id", "wk"]).groupBy("pixel_id").agg((F.median(F.abs(F.col("v") - F.col("m"))) * 1.4826).alias("sc"))
-    out = rows.join(centre, ["pixel_id", "wk"], "left").join(F.broadcast(pooled), "pixel_id").join(F.broadcast(scale), "pixel_id")
+    out = rows.join(centre, ["pixel_id", "wk"], "left").join(pooled, "pixel_id").join(scale, "pixel_id")
     anomaly = F.col("v") - F.coalesce("m", "pm")
     return out.select("pixel_id", "week_end", anomaly.alias("anomaly"), F.round(anomaly / F.greatest(F.col("sc"), F.lit(0.1)), 6).alias("z"))
 
@@ -95,14 +96,19 @@ def field_significance(spark, sf_dir):
     return r.groupBy("shift").agg(F.count("*").alias("cells"), F.count_if(F.abs("r") >= 0.05).alias("beyond"))
 
 
-@query()
+@query(f"""WITH {LAGGED}, e AS (SELECT pixel_id, lag, year(week_end) AS event, count(*) AS n, sum(x) AS sx, sum(v) AS sy, sum(x * x) AS sxx, sum(v * v) AS syy, sum(x * v) AS sxy FROM pairs GROUP BY ALL),
+u AS (SELECT pixel_id, event, row_number() OVER (PARTITION BY pixel_id ORDER BY event) - 1 AS i, count(*) OVER (PARTITION BY pixel_id) AS n FROM (SELECT DISTINCT pixel_id, event FROM e)),
+t AS (SELECT pixel_id, draw, ('0x' || substr(md5('42|' || draw || '|' || i), 1, 8))::BIGINT * n // 4294967296 AS i FROM u, range(100) r(draw)), w AS (SELECT t.pixel_id, draw, event, count(*) AS w FROM t JOIN u USING (pixel_id, i) GROUP BY ALL),
+s AS (SELECT pixel_id, draw, lag, sum(n * w) AS n, sum(sx * w) AS sx, sum(sy * w) AS sy, sum(sxx * w) AS sxx, sum(syy * w) AS syy, sum(sxy * w) AS sxy FROM e JOIN w USING (pixel_id, event) GROUP BY ALL),
+c AS (SELECT pixel_id, draw, lag, (n * sxy - sx * sy) / nullif(sqrt(greatest(0, (n * sxx - sx * sx) * (n * syy - sy * sy))), 0) AS r FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY pixel_id, draw ORDER BY abs(r) DESC, lag) AS k FROM c WHERE r IS NOT NULL)
+SELECT pixel_id, lag, count(*) AS times FROM b WHERE k = 1 GROUP BY 1, 2""")
 def event_bootstrap_lags(spark, sf_dir):
     """How often each lag is the best one of a cell when whole years are drawn again."""
     rows = lagged_pairs(spark, sf_dir).withColumn("event", F.year("week_end"))
     terms = {"n": F.lit(1.0), "sx": F.col("x"), "sy": F.col("v"), "sxx": F.col("x") * F.col("x"), "syy": F.col("v") * F.col("v"), "sxy": F.col("x") * F.col("v")}
     each = rows.groupBy("pixel_id", "lag", "event").agg(*[F.sum(e).alias(k) for k, e in terms.items()])
-    drawn = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    drawn = drawn.withColumn("w", F.pmod(F.xxhash64(F.lit(42), "draw", "event"), F.lit(3)))  # 0, 1 or 2 times
+    taken = inference.drawn_units(each.select("pixel_id", "event").distinct(), ["pixel_id"], "event", 100)
+    drawn = each.join(taken.withColumnRenamed("times", "w"), ["pixel_id", "event"])
     s = drawn.groupBy("pixel_id", "draw", "lag").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in terms])
     r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.nullif(F.sqrt(F.greatest(F.lit(0.0), (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2))), F.lit(0.0)))
     best = stats.best_lag(s.select("pixel_id", "draw", "lag", r.alias("r")), ["pixel_id", "draw"])
@@ -142,11 +148,12 @@ def wind_stress_curl(spark, sf_dir):
     return rounded(out.select("d", "lat", "lon", (F.col("curl") * 1e6).alias("curl")))
 
 
-@query()
+@query(f"""WITH {CUBE_WEEKLY}, r AS (SELECT *, stddev_samp(v) OVER (PARTITION BY pixel_id) AS sd, (('0x' || substr(md5(pixel_id || '|' || week_end || '|42'), 1, 8))::BIGINT % 2001 - 1000) / 1000.0::DOUBLE AS noise FROM cw WHERE year(week_end) <= 1998)
+SELECT pixel_id, week_end, round(v, 6) AS v, false AS is_synthetic, 1 AS independent_n FROM r UNION ALL SELECT pixel_id, week_end, round(v + noise * sd * 0.1, 6), true, 0 FROM r""")
 def augmented_rows(spark, sf_dir):
     """Training rows with copies that carry small noise and their origin; the noise is a hash of the row, the same each time."""
     rows = cube_weekly(spark, sf_dir).where(F.year("week_end") <= 1998).withColumn("sd", F.stddev_samp("v").over(Window.partitionBy("pixel_id")))
-    noise = (F.pmod(F.xxhash64("pixel_id", "week_end", F.lit(42)), F.lit(2001)) - 1000) / 1000.0
+    noise = (hash32("pixel_id", "week_end", F.lit(42)) % 2001 - 1000) / 1000.0
     copies = rows.select("pixel_id", "week_end", (F.col("v") + noise * F.col("sd") * 0.1).alias("v"), F.lit(True).alias("is_synthetic"), F.lit(0).alias("independent_n"))
     return rounded(rows.select("pixel_id", "week_end", "v", F.lit(False).alias("is_synthetic"), F.lit(1).alias("independent_n")).unionByName(copies))
 

@@ -157,7 +157,12 @@ def genesis_minimum(spark, sf_dir):
     return rows.groupBy("event_id").agg(F.min_by("month", F.struct(F.abs("oni"), F.col("month"))).alias("genesis"))
 
 
-@query()
+def _bounded(weeks: int, fraction: float) -> str:
+    phases = PHASES.replace("j.onset - 182", f"j.onset - {weeks * 7}").replace("abs(e.peak_value) * 0.8", f"abs(e.peak_value) * {fraction}")
+    return f"SELECT {weeks} AS genesis_weeks, {fraction}::DOUBLE AS fraction, phase, count(*) AS n FROM (WITH {phases} SELECT phase FROM phases) GROUP BY phase"
+
+
+@query(" UNION ALL ".join(_bounded(w, f) for w in (13, 26, 39) for f in (0.8, 0.9, 0.95)))
 def phase_boundary_sensitivity(spark, sf_dir):
     """Weeks in each phase for each pair of genesis window and peak fraction."""
     weeks = weekly_signal(spark, sf_dir).select("week_end")
@@ -175,7 +180,10 @@ def independent_counts(spark, sf_dir):
     return phase_table(spark, sf_dir).groupBy("event_type").agg(F.countDistinct("event_id").alias("events"), F.countDistinct(F.year("week_end") * 4 + F.quarter("week_end")).alias("quarters"))
 
 
-@query()
+@query(f"""WITH {CUBE}, r AS (SELECT pixel_id, d, avg(v) OVER (PARTITION BY pixel_id ORDER BY d ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS v FROM cube), c AS (SELECT * FROM r WHERE v >= 0.02),
+p1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY pixel_id ORDER BY v DESC, d) = 1), p2 AS (SELECT c.* FROM c JOIN p1 USING (pixel_id) WHERE abs(c.d - p1.d) > 75 QUALIFY row_number() OVER (PARTITION BY c.pixel_id ORDER BY c.v DESC, c.d) = 1),
+p3 AS (SELECT c.* FROM c JOIN p1 USING (pixel_id) JOIN p2 USING (pixel_id) WHERE abs(c.d - p1.d) > 75 AND abs(c.d - p2.d) > 75 QUALIFY row_number() OVER (PARTITION BY c.pixel_id ORDER BY c.v DESC, c.d) = 1)
+SELECT pixel_id, 1 AS rank, d, round(v, 6) AS v FROM p1 UNION ALL SELECT pixel_id, 2, d, round(v, 6) FROM p2 UNION ALL SELECT pixel_id, 3, d, round(v, 6) FROM p3""")
 def picked_peaks(spark, sf_dir):
     w = Window.partitionBy("pixel_id").orderBy("d").rowsBetween(-14, 0)
     rows = cube_daily(spark, sf_dir).select("pixel_id", "d", F.avg("v").over(w).alias("v"))
@@ -213,7 +221,9 @@ def event_hac_regression(spark, sf_dir):
     return out.select("pixel_id", "n", "n_events", F.round("slope", 10).alias("slope"), F.round("t", 5).alias("t"))
 
 
-@query()
+@query(f"""WITH {CUBE_WEEKLY}, e AS (SELECT pixel_id, year(week_end) AS y, avg(v) AS v FROM cw GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY pixel_id ORDER BY y) - 1 AS i, count(*) OVER (PARTITION BY pixel_id) AS n FROM e),
+t AS (SELECT pixel_id, draw, ('0x' || substr(md5('42|' || draw || '|' || i), 1, 8))::BIGINT * n // 4294967296 AS i FROM k, range(200) r(draw)), m AS (SELECT t.pixel_id, draw, avg(v) AS m FROM t JOIN k USING (pixel_id, i) GROUP BY ALL)
+SELECT k.pixel_id, any_value(n) AS n_units, round(any_value(mean), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM k JOIN (SELECT pixel_id, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) USING (pixel_id) JOIN (SELECT pixel_id, avg(v) AS mean FROM e GROUP BY 1) USING (pixel_id) GROUP BY 1""")
 def bootstrap_mean(spark, sf_dir):
     rows = cube_weekly(spark, sf_dir).withColumn("y", F.year("week_end"))
     return rounded(inference.bootstrap_mean(rows, ["pixel_id"], "v", "y", 200))
@@ -241,17 +251,9 @@ def confirmatory_gate(spark, sf_dir):
     return rounded(out.withColumn("verdict", inference.confirmatory_gate(out, "q", "p_field", "same", "events")))
 
 
-@query(f"""WITH {LAGGED}, i AS (SELECT week_end, year(week_end)::INT AS e, v, row_number() OVER (PARTITION BY year(week_end) ORDER BY week_end) - 1 AS i, count(*) OVER (PARTITION BY year(week_end)) AS n FROM pairs WHERE lag = 0 AND pixel_id = 3)
-SELECT a.week_end, a.e, b.v AS rolled FROM i a JOIN i b ON a.e = b.e AND (b.i + 5) % b.n = a.i""")
-def circular_event_roll(spark, sf_dir):
-    rows = lagged_pairs(spark, sf_dir).where("lag = 0 and pixel_id = 3").select("week_end", F.year("week_end").alias("e"), "v")
-    return inference.rolled_events(rows, "e", "week_end", "v", 5).drop("v")
-
-
 @query(f"""WITH {LAGGED}, i AS (SELECT pixel_id, week_end, year(week_end)::INT AS e, v, row_number() OVER (PARTITION BY pixel_id, year(week_end) ORDER BY week_end) - 1 AS i, count(*) OVER (PARTITION BY pixel_id, year(week_end)) AS n FROM pairs WHERE lag = 0)
 SELECT a.pixel_id, a.week_end, a.e, b.v AS rolled FROM i a JOIN i b ON a.pixel_id = b.pixel_id AND a.e = b.e AND (b.i + 5) % b.n = a.i""")
-def circular_event_roll_cells(spark, sf_dir):
-    """circular_event_roll of every cell."""
+def circular_event_roll(spark, sf_dir):
     rows = lagged_pairs(spark, sf_dir).where("lag = 0").select("pixel_id", "week_end", F.year("week_end").alias("e"), "v")
     return inference.rolled_events(rows, "e", "week_end", "v", 5, ("pixel_id",)).drop("v")
 
@@ -289,15 +291,9 @@ def weekly_index_contract(spark, sf_dir):
     return w.agg(F.count("*").alias("n"), F.bool_and(F.dayofweek("week_end") == 1).alias("sundays"), F.coalesce(F.bool_and(F.col("gap") == 7), F.lit(True)).alias("contiguous"))
 
 
-@query(f"WITH {CUBE} SELECT d, {', '.join(f'max(v) FILTER (pixel_id = {k}) AS cell_{k}' for k in range(4))}, month(d)::INT AS month FROM cube GROUP BY d")
-def feature_matrix(spark, sf_dir):
-    rows = cube_daily(spark, sf_dir).withColumn("name", F.concat(F.lit("cell_"), F.col("pixel_id")))
-    return rows.groupBy("d").pivot("name", [f"cell_{k}" for k in range(4)]).agg(F.max("v")).withColumn("month", F.month("d"))
-
-
 @query(f"WITH {CUBE} SELECT d, {', '.join(f'max(v) FILTER (pixel_id = {k}) AS cell_{k}' for k in range(25))}, month(d)::INT AS month FROM cube GROUP BY d")
-def feature_matrix_cells(spark, sf_dir):
-    """feature_matrix of every cell: the cells are the nations, with or without values."""
+def feature_matrix(spark, sf_dir):
+    """A column for every cell; the cells are the nations, with or without values."""
     cells = sorted(r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").distinct().collect())
     rows = cube_daily(spark, sf_dir).withColumn("name", F.concat(F.lit("cell_"), F.col("pixel_id")))
     return rows.groupBy("d").pivot("name", [f"cell_{k}" for k in cells]).agg(F.max("v")).withColumn("month", F.month("d"))
@@ -316,7 +312,7 @@ def available_rows(spark, sf_dir):
     return readers.available(rows, "event_type", "d", {"click": 5, "view": 15}, "2024-01-20").drop("d")
 
 
-@query()
+@query(f"""SELECT DATE '1981-01-04' + (k * 7)::INT AS week_end, true AS is_synthetic, {', '.join(f"round(sin(k * (2 * 3.141592653589793::DOUBLE / 52.1775::DOUBLE) + {i}) + (('0x' || substr(md5(k || '|{i}'), 1, 8))::BIGINT % 2001 - 1000) / 1000.0::DOUBLE, 6) AS v{i}" for i in range(5))} FROM range(200) t(k)""")
 def synthetic_series(spark, sf_dir):
     return rounded(readers.synthetic_weekly(spark, 200, 5))
 
@@ -343,3 +339,43 @@ def stream_weekly(spark, sf_dir):
 SELECT user_id, count(*) AS n, max(value) AS top FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, sf_dir):
     return st.drained(st.sessions(_events_stream(spark, sf_dir), "ts", ["user_id"], "value", 1.0, "6 hours"), "complete").select("user_id", "n", "top")
+
+
+@query("""WITH w AS (SELECT event_type, CAST(ts AS DATE) - k::INT AS start, value FROM events, range(5) t(k)) SELECT start, event_type, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""")
+def stream_sliding(spark, sf_dir):
+    """Sums of five days, each day a new window."""
+    rows = st.drained(st.sliding(_events_stream(spark, sf_dir), "ts", ["event_type"], "value"), "complete")
+    return rows.select(F.col("start").cast("date").alias("start"), "event_type", F.round("total", 4).alias("total"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_latest_rows(spark, sf_dir):
+    """Each task and kind once, whatever comes again within the watermark."""
+    return st.drained(st.latest_rows(_events_stream(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"), "append").distinct()
+
+
+@query("""WITH o AS (SELECT user_id, ts, value, value > 0.5 AS is_on, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), r AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, is_on ORDER BY ts) AS run FROM o),
+g AS (SELECT user_id, min(i) AS first, max(i) AS last, count(*) AS n, max(value) AS top FROM r WHERE is_on GROUP BY user_id, run), m AS (SELECT user_id, max(i) AS last FROM o GROUP BY 1)
+SELECT g.user_id, row_number() OVER (PARTITION BY g.user_id ORDER BY first) - 1 AS run, n, top FROM g JOIN m USING (user_id) WHERE g.last < m.last""")
+def stream_open_runs(spark, sf_dir):
+    """Runs over a limit of each task, kept as state while they are open."""
+    return st.drained(st.open_runs(_events_stream(spark, sf_dir), "user_id", "ts", "value", 0.5), "append")
+
+
+@query("""WITH m AS (SELECT event_type, CAST(date_trunc('month', ts) AS DATE) AS month, avg(value) AS value FROM events GROUP BY 1, 2) SELECT event_type, max(month) AS month, round(arg_max(value, month), 6) AS value FROM m WHERE last_day(month) + 15 <= DATE '2024-12-31' GROUP BY 1""")
+def stream_latest_release(spark, sf_dir):
+    """Of each source the newest monthly value that is released by a day, fifteen days after its month."""
+    monthly = st.drained(st.monthly(_events_stream(spark, sf_dir), "ts", ["event_type"], "value"), "complete")
+    out = monthly.where(F.date_add(F.last_day("month"), 15) <= F.lit("2024-12-31").cast("date")).groupBy("event_type")
+    return rounded(out.agg(F.max("month").alias("month"), F.max_by("mean", "month").alias("value")))
+
+
+@query("""WITH c AS (SELECT corr(l_quantity, l_discount) AS r1, var_samp(l_quantity) AS a, var_samp(l_discount * 100) AS b, covar_samp(l_quantity, l_discount * 100) AS c FROM lineitem), e AS (SELECT a + b AS total, (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c) AS first FROM c)
+SELECT 1 AS components, round(first / total, 6) AS share FROM e UNION ALL SELECT 2, 1.0::DOUBLE FROM e""")
+def explained_variance(spark, sf_dir):
+    """Cumulated share of the variance of two variables that their principal components explain."""
+    from ..operators.models import explained
+
+    rows = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("id"), F.array(F.col("l_quantity"), F.col("l_discount") * 100).alias("v"))
+    shares, _ = explained(rows, "id", "v", 2)
+    return rounded(spark.createDataFrame([(k + 1, v) for k, v in enumerate(shares)], "components int, share double"))

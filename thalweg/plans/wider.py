@@ -90,6 +90,11 @@ def weekly_iso_anomaly(spark, sf_dir):
     return rounded(clim.iso_week_anomaly(weekly_signal(spark, sf_dir), value="x", base=BASE, width=5).select("week_end", "anomaly"), 4)
 
 
+_DAILY = least_squares("signal", "x", fourier("d", 3, False), [], f"WHERE d BETWEEN DATE '{BASE[0]}' AND DATE '{BASE[1]}'")
+#: SQL of ``harmonic_anomaly`` of series.py.
+SQL["harmonic_anomaly"] = f"WITH {SIGNAL}, {_DAILY} SELECT d, round(fitted, 4) AS fitted, round(x - fitted, 4) AS anomaly FROM fit"
+
+
 # ---- contracts and conditions
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.text import hash32
+
 FORMATS = {"parquet": "parquet", "orc": "orc", "csv": "csv", "json": "json", "jsonl": "json", "txt": "text"}
 
 
@@ -50,7 +52,7 @@ def available(df: DataFrame, source: str, day: str, delays: dict[str, int], toda
 def synthetic_weekly(spark: SparkSession, weeks: int, variables: int, start: str = "1981-01-04") -> DataFrame:
     """A made-up weekly matrix, the same each time: v0 .. vn with yearly cycles, marked as made up."""
     rows = spark.range(weeks).select(F.date_add(F.lit(start).cast("date"), (F.col("id") * 7).cast("int")).alias("week_end"), F.col("id").alias("k"))
-    noise = lambda i: (F.pmod(F.xxhash64("k", F.lit(i)), F.lit(2001)) - 1000) / 1000.0
+    noise = lambda i: (hash32(F.col("k"), F.lit(i)) % 2001 - 1000) / 1000.0
     return rows.select("week_end", F.lit(True).alias("is_synthetic"), *[(F.sin(F.col("k") * (2 * 3.141592653589793 / 52.1775) + i) + noise(i)).alias(f"v{i}") for i in range(variables)])
 
 
