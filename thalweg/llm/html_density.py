@@ -11,8 +11,8 @@ with zeros in denominators taken as 1. A node's density sum is the sum of its
 children's densities. The node of the largest sum is found; the smallest density
 on its path from the body is the threshold; from the body down, each node at or
 above the threshold gives its own largest-sum subtree, so text beside the first
-one is found too. A subtree inside an article or main element stands for that
-element, so that headings and short paragraphs beside dense ones stay.
+one is found too. A subtree inside an article or main element that is itself at or above the
+threshold stands for that element, so that headings and short paragraphs beside dense ones stay.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are cut before densities are taken, by element, role, and words
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -80,7 +81,8 @@ def parse(html: str) -> Node:
     """Tree of block nodes; the root is the body, whether or not the page has that tag."""
     root = Node("body", None, False)
     here, open_tags, links, at = root, [], 0, 0  # open_tags: (tag, block or None)
-    size = len(html)
+    opened: Counter[str] = Counter()  # how many of each are open, so that most searches end before they start
+    size, last = len(html), html.rfind(">") + 1  # no tag ends after the last >
 
     def text(piece: str) -> None:
         if piece and not here.cut:
@@ -89,6 +91,7 @@ def parse(html: str) -> Node:
     def close(k: int) -> None:
         nonlocal here, links
         for tag, block in reversed(open_tags[k:]):
+            opened[tag] -= 1
             if block is not None:
                 here = block.parent
             elif tag == "a":
@@ -97,23 +100,25 @@ def parse(html: str) -> Node:
 
     def find(tags: frozenset | set, until: frozenset | set) -> int:
         """The outermost open one of tags above the nearest open one of until."""
-        found = -1
+        found, left = -1, sum(opened[t] for t in tags)
         for k in range(len(open_tags) - 1, -1, -1):
-            if open_tags[k][0] in until:
+            if not left or open_tags[k][0] in until:
                 break
             if open_tags[k][0] in tags:
-                found = k
+                found, left = k, left - 1
         return found
 
     limits = {"table", "td", "th", "caption", "button", "object"}
     while at < size:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, last) if at < last else None
         if m is None:
-            text(unescape(html[at:]))
+            text(unescape(html[at:].split("<!--")[0]))
             break
         if m.start() > at:
             text(unescape(html[at : m.start()]))
         at = m.end()
+        if at == last and m[0].startswith(("<!--", "<![CDATA[")) and not m[0].endswith(("-->", "--!>", "]]>")):
+            at = size  # a comment that nothing ends holds the rest
         if m[1] is not None:
             text(m[1])
             continue
@@ -124,7 +129,7 @@ def parse(html: str) -> Node:
             if tag == "br":
                 text(" ")
                 continue
-            k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag), -1)
+            k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag), -1) if opened[tag] else -1
             if k >= 0:
                 close(k)
             continue
@@ -132,6 +137,7 @@ def parse(html: str) -> Node:
             continue
         if tag == "head":
             open_tags.append((tag, here := Node(tag, here, True)))
+            opened[tag] += 1
             continue
         if tag in CLOSES_P and (k := find({"p"}, limits)) >= 0:
             close(k)
@@ -157,17 +163,19 @@ def parse(html: str) -> Node:
                 else:
                     open_tags.append((tag, None))
                     links += tag == "a"
+                opened[tag] += 1
             continue
         if tag in VOID:
             text(" ")
             continue
-        cut = here.cut or _is_cut(tag, m[4], any(t in CONTAINERS for t, _ in open_tags))
+        cut = here.cut or _is_cut(tag, m[4], any(opened[t] for t in CONTAINERS))
         node = Node(tag, here, cut)
         if not cut:
             here.parts.append(node)
         if not m[4].rstrip().endswith("/"):
             here = node
             open_tags.append((tag, node))
+            opened[tag] += 1
     return root
 
 
@@ -223,13 +231,14 @@ def chosen(root: Node) -> list[Node]:
         node = node.parent
     threshold = min((x for x in path if x > 0), default=0.0)
 
-    def widened(node: Node) -> Node:
-        up, out = node, node
-        while up is not None:
-            if up.tag in CONTAINERS:
-                out = up
-            up = up.parent
-        return out
+    outer: dict[int, Node] = {}  # of each node the outermost article or main at or above the threshold that holds it
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        over = outer.get(id(node.parent)) or (node if node.tag in CONTAINERS and node.density >= threshold else None)
+        if over is not None:
+            outer[id(node)] = over
+        stack.extend(p for p in node.parts if isinstance(p, Node))
 
     found: list[Node] = []
     marked: set[int] = set()
@@ -238,7 +247,7 @@ def chosen(root: Node) -> list[Node]:
         node = stack.pop()
         if id(node) in marked or node.density < threshold:
             continue
-        pick = widened(node.best)
+        pick = outer.get(id(node.best), node.best)
         if pick.chars and id(pick) not in marked:
             found.append(pick)
             inner = [pick]
