@@ -9,17 +9,18 @@ word that a recurring window covers is removed; windows are judged on the input.
    anchor occurs at two places. Anchors are about a fourteenth of all words.
 2. Confirm. Only windows with such an anchor are hashed and counted.
 3. Compile. Documents are dealt into shards of a few MB. The passages of a shard
-   (its maximal runs of confirmed windows, each once) become one Aho-Corasick
-   automaton of pyahocorasick over word numbers, as large as the shard at most.
-4. Stream. All documents of the shard run through its automaton, which gives
-   every occurrence of every passage; the union of them is removed.
+   (its maximal runs of confirmed windows, each once, as text) are its dictionary.
+   A dictionary is no larger than its shard.
+4. Stream. The dictionary becomes one Aho-Corasick automaton of pyahocorasick over
+   word numbers, and all documents of the shard run through it. Its hits are the only
+   source of positions; the union of them is removed.
 
 Counting is packed: a shard sends each bucket its distinct hashes as one binary
 value, so a passage that a third of all documents share is one hash a shard, and
 a bucket answers each shard with those that recur. A hash is one of 64 bits, and
 a bucket's number is taken from bits of a second one.
 
-The texts are shuffled once, by shard; all three passes read that exchange.
+The texts are shuffled once, by shard; all four passes read that exchange.
 
 Results for the odd cases: null, empty and blank texts have 0 words, nothing
 removed and an empty rest; texts shorter than a window lose nothing; repeated
@@ -38,8 +39,8 @@ from pyspark.sql import types as T
 from .words import MIX2, Words, covered, inside, split, windows
 
 WIDTH, GRAM = 35, 8
-#: Bytes of the plan's input in a shard.
-SHARD = 4 << 20
+#: Text bytes in a shard.
+SHARD = 6 << 20
 
 
 def _least(x: np.ndarray, span: int, pick=np.minimum) -> np.ndarray:
@@ -148,12 +149,23 @@ def occurrences(words: Words, phrases: dict[tuple[int, ...], int]) -> tuple[np.n
     return np.array(starts, np.int64), np.array(lengths, np.int64)
 
 
-def _shards(df: DataFrame) -> int:
-    """Shards for a plan's input: two for each shuffle partition, and more for more bytes."""
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    at_least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(at_least, min(size // SHARD, 1 << 31)) if size < 1 << 60 else at_least
+def dictionary(words: Words, starts: np.ndarray, width: int) -> bytes:
+    """The passages of a shard as text, a line each."""
+    vocab = words.vocab.to_pylist()
+    return b"\n".join(b" ".join([vocab[c] for c in phrase]) for phrase in passages(words, starts, width))
+
+
+def phrases_of(words: Words, lines: bytes) -> dict[tuple[int, ...], int]:
+    """A dictionary's passages as word numbers of a block, with their lengths."""
+    number = {w: c for c, w in enumerate(words.vocab.to_pylist())}
+    found = [tuple([number[w] for w in x.split(b" ")]) for x in lines.split(b"\n")] if lines else []
+    return {x: len(x) for x in found}
+
+
+def _shards(df: DataFrame, text_col: str) -> int:
+    """Two shards for each shuffle partition, and more for more text."""
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD)
 
 
 def _scanned(docs: DataFrame, text_col: str, width: int, gram: int, finish, schema: T.StructType) -> DataFrame:
@@ -162,7 +174,7 @@ def _scanned(docs: DataFrame, text_col: str, width: int, gram: int, finish, sche
     ``docs`` has its columns named c0, c1 ...; ``text_col`` is one of them.
     """
     spark = docs.sparkSession
-    n = _shards(docs)
+    n = _shards(docs, text_col)
     shard = F.pmod(F.xxhash64(*docs.columns), F.lit(n)).alias("shard")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2)
     dealt = docs.select(shard, *docs.columns).repartition(parts, "shard")
@@ -188,15 +200,18 @@ def _scanned(docs: DataFrame, text_col: str, width: int, gram: int, finish, sche
             keys = windows(h, width)[at]
         return _table(pack(table.column("shard")[0].as_py(), keys, parts), _PACKED)
 
-    def locate(table: pa.Table, answer: pa.Table) -> pa.Table:
+    def compiled(table: pa.Table, answer: pa.Table) -> pa.Table:
+        lines = b""
+        if table.num_rows and answer.num_rows:
+            words = text(table)
+            at = np.flatnonzero(inside(words, width))
+            lines = dictionary(words, at[among(windows(words.hashes(), width)[at], answer)], width)
+        return _table([(table.column("shard")[0].as_py(), lines)] if lines else [], _ANSWER)
+
+    def locate(table: pa.Table, known: pa.Table) -> pa.Table:
         words = text(table)
-        gone = np.zeros(len(words.codes), bool)
-        whole = inside(words, width)
-        if len(whole) and answer.num_rows:
-            at = np.flatnonzero(whole)
-            at = at[among(windows(words.hashes(), width)[at], answer)]
-            gone = covered(*occurrences(words, passages(words, at, width)), len(gone))
-        return finish(table, words, gone)
+        phrases = phrases_of(words, known.column("keys")[0].as_py()) if known.num_rows else {}
+        return finish(table, words, covered(*occurrences(words, phrases), len(words.codes)))
 
     def answers(packed: DataFrame) -> DataFrame:
         return packed.groupBy("bucket").applyInArrow(recurring, "shard long, keys binary")
@@ -204,7 +219,8 @@ def _scanned(docs: DataFrame, text_col: str, width: int, gram: int, finish, sche
     by_shard = dealt.groupBy("shard")
     first = answers(by_shard.applyInArrow(nominate, PACKED))
     second = answers(by_shard.cogroup(first.groupBy("shard")).applyInArrow(confirm, PACKED))
-    return by_shard.cogroup(second.groupBy("shard")).applyInArrow(locate, schema)
+    third = by_shard.cogroup(second.groupBy("shard")).applyInArrow(compiled, "shard long, keys binary")
+    return by_shard.cogroup(third.groupBy("shard")).applyInArrow(locate, schema)
 
 
 def _named(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
