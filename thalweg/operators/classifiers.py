@@ -25,8 +25,8 @@ def gaussian_bayes(train: DataFrame, test: DataFrame, keys: list[str], label: st
 def classify(train: DataFrame, test: DataFrame, keys: list[str], label: str, features: list[str], model: str = "logistic", seed: int = 42) -> DataFrame:
     """(keys, label, p) of the test rows: probability of a 0 / 1 label by logistic regression, a random forest or boosted trees."""
     kinds = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier}
-    options = {"featuresCol": "_features", "labelCol": "_y", "probabilityCol": "_p"} | ({"seed": seed} if model != "logistic" else {"regParam": 0.01}) | ({"maxIter": 20} if model == "boosted" else {})
+    options = {"featuresCol": "_features", "labelCol": "_y"} | ({"seed": seed} if model != "logistic" else {"regParam": 0.01}) | ({"maxIter": 20} if model == "boosted" else {})
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     rows = lambda df: assembler.transform(df.withColumn("_y", F.col(label).cast("double")))
     fitted = kinds[model](**options).fit(rows(train))
-    return fitted.transform(rows(test)).select(*keys, label, vector_to_array("_p")[1].alias("p"))
+    return fitted.transform(rows(test)).select(*keys, label, vector_to_array("probability")[1].alias("p"))

@@ -38,6 +38,28 @@ def explained(df: DataFrame, id_col: str, array_col: str, k: int, target: float
     return out, next((i + 1 for i, v in enumerate(out) if v >= target), None)
 
 
+def loadings(df: DataFrame, id_col: str, array_col: str, k: int) -> list[list[float]]:
+    """The k leading directions of centred vectors, one list each."""
+    rows = _vectors(df, id_col, array_col)
+    rows = StandardScaler(inputCol="raw", outputCol="z", withMean=True, withStd=False).fit(rows).transform(rows)
+    return [list(map(float, c)) for c in PCA(k=k, inputCol="z", outputCol="pc").fit(rows).pc.toArray().T]
+
+
+def component_stability(df: DataFrame, id_col: str, array_col: str, time: str, ends: list, k: int, least: float = 0.6) -> list[tuple]:
+    """(end, component, similarity, stable): absolute cosine of each component fitted up to an end with the one fitted up to the last end.
+
+    A model is fitted for each end, as many as there are folds; what comes back are directions, not rows.
+    """
+    found = [(e, loadings(df.where(F.col(time) <= F.lit(e)), id_col, array_col, k)) for e in ends]
+    last = found[-1][1]
+    out = []
+    for e, directions in found:
+        for i, (a, b) in enumerate(zip(directions, last, strict=True)):
+            same = abs(sum(x * y for x, y in zip(a, b, strict=True)))
+            out.append((e, i + 1, min(1.0, same), same >= least))
+    return out
+
+
 def clusters(df: DataFrame, id_col: str, array_col: str, k: int, seed: int = 42) -> DataFrame:
     """(id, cluster) by k-means."""
     rows = _vectors(df, id_col, array_col)

@@ -274,6 +274,33 @@ def correlation_components(df: DataFrame, names: list[str], limit: float) -> dic
     return {n: top(n) for n in names}
 
 
+def average_linkage(distance: dict[tuple[str, str], float], names: list[str], limit: float) -> dict[str, str]:
+    """First name of the cluster of each variable: the two nearest clusters, by the mean distance of their members, are joined while it is under ``limit``.
+
+    For the few dozen variables of a table; ``distance`` has every pair of names once, in the order of ``names``.
+    """
+    groups = [[n] for n in names]
+    of = lambda a, b: distance.get((a, b), distance.get((b, a)))
+    while len(groups) > 1:
+        mean, i, j = min((sum(of(a, b) for a in x for b in groups[j]) / (len(x) * len(groups[j])), i, j) for i, x in enumerate(groups) for j in range(i + 1, len(groups)))
+        if mean >= limit:
+            break
+        groups[i] += groups.pop(j)
+    return {n: min(g) for g in groups for n in g}
+
+
+def rank_distances(df: DataFrame, names: list[str], id_col: str) -> dict[tuple[str, str], float]:
+    """1 less the absolute rank correlation of every pair of columns; a rank is that of a value, so a column of few values has few ranks to sort."""
+    ranked = df.select(id_col)
+    for n in names:
+        counts = df.groupBy(F.col(n).alias("_v")).agg(F.count("*").alias("_c"))
+        mean = counts.withColumn("_rank", F.sum("_c").over(Window.orderBy("_v")) - (F.col("_c") - 1) / 2.0).select("_v", "_rank")  # one row a value
+        ranked = ranked.join(df.select(id_col, F.col(n).alias("_v")).join(mean, "_v").select(id_col, F.col("_rank").alias(n)), id_col)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    row = ranked.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs]).first().asDict()
+    return {(a, b): 1 - abs(row[f"{a}|{b}"] or 0.0) for a, b in pairs}
+
+
 def permutation_importance(df: DataFrame, keys: list[str], order: str, x: str, y: str) -> DataFrame:
     """(keys, feature, importance): growth of the squared error of a regression when its predictor is shuffled within the key by a hash."""
     by = Window.partitionBy(*keys)

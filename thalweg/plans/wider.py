@@ -434,3 +434,54 @@ def status_rollup(spark, sf_dir):
     """The status of each task from its evidence; what is missing or bad closes it."""
     c = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count_if((F.col("value") <= 0) | F.col("value").isNull()).alias("bad"))
     return c.groupBy("user_id").agg(F.count("*").alias("kinds"), F.when(F.count("*") < 3, "missing").when(F.sum("bad") > 0, "failed").otherwise("passed").alias("status"))
+
+
+# ---- reduction and models of pyspark.ml: without SQL, tested against numpy
+
+
+def week_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(week_end, id, v): each week's field as a vector of all cells, 0 where a cell has no value."""
+    cells = sorted(r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect())
+    wide = cube_weekly(spark, sf_dir).groupBy("week_end").pivot("pixel_id", cells).agg(F.max("v"))
+    return wide.select("week_end", F.datediff("week_end", F.lit("1970-01-01")).cast("long").alias("id"), F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cells]).alias("v"))
+
+
+@query()
+def pca_stability(spark, sf_dir):
+    """How alike the leading directions of the weekly field are when they are fitted up to the end of each year."""
+    from ..operators.models import component_stability
+
+    found = component_stability(week_vectors(spark, sf_dir), "id", "v", "week_end", [f"{y}-12-31" for y in range(1996, 2001)], 2)
+    return rounded(spark.createDataFrame(found, "end string, component int, similarity double, stable boolean"), 4)
+
+
+@query()
+def eof_by_phase(spark, sf_dir):
+    """Leading pattern's amplitude of each event in its growth phase: events by cells, means over the phase's weeks."""
+    from ..operators.models import principal_components
+
+    ph = phase_table(spark, sf_dir).where("phase = 'growth'").select("week_end", "event_id")
+    cells = sorted(r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect())
+    wide = cube_weekly(spark, sf_dir).join(ph, "week_end").groupBy("event_id").pivot("pixel_id", cells).agg(F.avg("v"))
+    rows = wide.select("event_id", F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cells]).alias("v"))
+    return rounded(principal_components(rows, "event_id", "v", 1), 4)
+
+
+@query()
+def variable_clusters(spark, sf_dir):
+    """Variables in clusters by average linkage of 1 less their absolute rank correlation."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    names = ["quantity", "price", "discount", "tax"]
+    found = stats.average_linkage(stats.rank_distances(rows, names, "id"), names, 0.85)
+    return spark.createDataFrame(sorted(found.items()), "variable string, cluster string")
+
+
+@query()
+def event_probability(spark, sf_dir):
+    """Probability that a later week is in an event, by logistic regression on the signal and its past."""
+    from ..operators.classifiers import classify
+
+    w = Window.orderBy("week_end")
+    f = weekly_signal(spark, sf_dir).select("week_end", (F.col("x") / 1000).alias("x0"), (F.lag("x", 4).over(w) / 1000).alias("x4"), (F.lag("x", 13).over(w) / 1000).alias("x13")).dropna()
+    rows = f.join(phase_table(spark, sf_dir).select("week_end", (F.col("event_type") != "neutral").cast("int").alias("y")), "week_end")
+    return rounded(classify(rows.where(F.year("week_end") <= 1998), rows.where(F.year("week_end") > 1998), ["week_end"], "y", ["x0", "x4", "x13"]), 4)

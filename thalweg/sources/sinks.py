@@ -21,17 +21,23 @@ def write_checked(df: DataFrame, path: str, primary_key: list[str], allowed: dic
     failed = {r.check: r.failures for r in contract_issues(df, primary_key, allowed, finite).where("failures > 0").collect()}
     if failed:
         raise ValueError(f"the table breaks its contract: {failed}")
-    df.write.mode("overwrite").parquet(path)
     spark = df.sparkSession
-    manifest = {"columns": dict(df.dtypes), "primary_key": primary_key, "fingerprint": fingerprint(spark.read.parquet(path)), "parameters": parameters or {}, "status": "complete"}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
+    manifest = {"columns": dict(df.dtypes), "primary_key": primary_key, "parameters": parameters or {}, "status": "writing"}
+
+    def note() -> None:
+        spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
+
+    note()  # a job that dies on the way leaves a table that is not valid
+    df.write.mode("overwrite").parquet(path)
+    manifest |= {"fingerprint": fingerprint(spark.read.parquet(path)), "status": "complete"}
+    note()
     return manifest
 
 
 def verify(spark: SparkSession, path: str) -> bool:
     """Whether a table is still as its manifest says."""
     manifest = json.loads(spark.read.text(f"{path}.manifest").first()[0])
-    return manifest["status"] == "complete" and manifest["fingerprint"] == fingerprint(spark.read.parquet(path))
+    return manifest["status"] == "complete" and manifest.get("fingerprint") == fingerprint(spark.read.parquet(path))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
