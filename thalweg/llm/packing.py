@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices, split
+from .shared import written
+from .words import give_back, slices, split
 
 CAPACITY = 4096
 #: Pieces packed together.
@@ -126,6 +127,7 @@ def best_fit(sized: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
     rest = rest.withColumn("shard", F.pmod(F.xxhash64("id", "source", "tokens", "cluster", "first"), F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         # longest first; ties by all that tells pieces apart, so that a repeated run gives the same bins
         order = sorted(range(table.num_rows), key=lambda k, t=table.column("tokens").to_pylist(), i=table.column("id").to_pylist(), c=table.column("cluster").to_pylist(), s=table.column("source").to_pylist(): (-t[k], str(i[k]), str(c[k]), str(s[k])))
         table = table.take(pa.array(order, pa.int64()))
@@ -139,5 +141,6 @@ def best_fit(sized: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, cluster_col: str | None = None) -> DataFrame:
     """(id, piece, first_token, n_tokens, bin_id) of every document."""
-    rows = best_fit(word_sizes(docs, id_col, text_col, source_col, cluster_col), capacity)
+    # sizes are read three times, texts once
+    rows = best_fit(written(word_sizes(docs, id_col, text_col, source_col, cluster_col), "sizes"), capacity)
     return rows.select(F.col("id").alias(id_col), "piece", F.col("first").alias("first_token"), F.col("tokens").alias("n_tokens"), F.col("bin").alias("bin_id"))
