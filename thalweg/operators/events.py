@@ -24,9 +24,15 @@ def threshold_events(series: DataFrame, value: str = "oni", month: str = "month"
     return runs.select(F.concat_ws("_", kind, years).alias("event_id"), kind.alias("event_type"), "onset", F.col("p.t").alias("peak_time"), "end", "months", F.col("p.v").alias("peak_value"))
 
 
+def within_years(rows: DataFrame, at: str, events: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Pairs of rows and events whose span touches the row's year: an equi-join, on which conditions of time follow."""
+    spans = events.withColumn("_year", F.explode(F.sequence(F.year(start), F.year(end))))
+    return rows.withColumn("_year", F.year(at)).join(spans, "_year").drop("_year")
+
+
 def peak_band(events: DataFrame, series: DataFrame, fraction: float, value: str = "oni", month: str = "month") -> DataFrame:
     """(event_id, peak_band_start, peak_band_end): the months around the peak without a gap at ``fraction`` of it or more."""
-    rows = series.join(F.broadcast(events), (F.col(month) >= F.col("onset")) & (F.col(month) <= F.col("end")))
+    rows = within_years(series, month, events, F.col("onset"), F.col("end")).where((F.col(month) >= F.col("onset")) & (F.col(month) <= F.col("end")))
     rows = rows.where(F.abs(value) >= F.abs("peak_value") * fraction)
     rows = islands(rows.withColumn("one", F.lit(1)), "one", ["event_id"], month, F.year(month) * 12 + F.month(month))
     bands = rows.groupBy("event_id", "run").agg(F.min(month).alias("peak_band_start"), F.last_day(F.max(month)).alias("peak_band_end"), F.max((F.col(month) == F.col("peak_time")).cast("int")).alias("has_peak"))
@@ -43,7 +49,7 @@ def lifecycle(weeks: DataFrame, events: DataFrame, bands: DataFrame, week: str =
     before = (F.col(week) < F.col("onset")) & (F.col(week) >= F.date_sub("onset", 7 * genesis_weeks))
     phase = F.when(before, "genesis").when(F.col(week) < F.col("peak_band_start"), "growth").when(F.col(week) <= F.col("peak_band_end"), "peak").otherwise("decay")
     rank = F.struct(inside.cast("int").alias("active"), F.when(inside, F.datediff("onset", F.lit("1970-01-01"))).otherwise(-F.datediff("onset", F.lit("1970-01-01"))).alias("order"))
-    hit = weeks.select(week).join(F.broadcast(e), inside | before).groupBy(week)
+    hit = within_years(weeks.select(week), week, e, F.date_sub("onset", 7 * genesis_weeks), F.col("close")).where(inside | before).groupBy(week)
     held = hit.agg(F.max_by(F.struct("event_type", phase.alias("phase"), "event_id", F.floor(F.datediff(week, "peak_time") / 7).alias("weeks_from_peak")), rank).alias("h"))
     out = weeks.select(week).distinct().join(held, week, "left")
     return out.select(week, F.coalesce("h.event_type", F.lit("neutral")).alias("event_type"), F.coalesce("h.phase", F.lit("neutral")).alias("phase"), F.col("h.event_id").alias("event_id"), F.col("h.weeks_from_peak").alias("weeks_from_peak"))

@@ -57,7 +57,11 @@ def bilinear(df: DataFrame, targets: list[tuple[float, float]], keys: tuple[str,
 def rectangle_membership(cells: DataFrame, units: DataFrame, size: float) -> DataFrame:
     """(pixel_id, unit, fraction): share of each cell of ``size`` degrees in rectangles (unit, south, north, west, east), by area on the sphere."""
     half = size / 2
-    pairs = cells.join(F.broadcast(units), (F.col("lat") + half > F.col("south")) & (F.col("lat") - half < F.col("north")) & (F.col("lon") + half > F.col("west")) & (F.col("lon") - half < F.col("east")))
+    # units meet cells in bands of the cells' height, then by their sides
+    band = lambda lat: F.floor(lat / size).cast("long")
+    spread = units.withColumn("_band", F.explode(F.sequence(band(F.col("south") - half), band(F.col("north") + half))))
+    pairs = cells.withColumn("_band", band(F.col("lat"))).join(spread, "_band").drop("_band")
+    pairs = pairs.where((F.col("lat") + half > F.col("south")) & (F.col("lat") - half < F.col("north")) & (F.col("lon") + half > F.col("west")) & (F.col("lon") - half < F.col("east")))
     low, high = F.greatest(F.col("lat") - half, "south"), F.least(F.col("lat") + half, "north")
     dx = F.least(F.col("lon") + half, "east") - F.greatest(F.col("lon") - half, "west")
     part = (F.sin(F.radians(high)) - F.sin(F.radians(low))) * dx

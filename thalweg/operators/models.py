@@ -50,7 +50,9 @@ def component_stability(df: DataFrame, id_col: str, array_col: str, time: str, e
 
     A model is fitted for each end, as many as there are folds; what comes back are directions, not rows.
     """
+    df = df.cache()  # read once for each end
     found = [(e, loadings(df.where(F.col(time) <= F.lit(e)), id_col, array_col, k)) for e in ends]
+    df.unpersist()
     last = found[-1][1]
     out = []
     for e, directions in found:

@@ -153,7 +153,8 @@ def profile_residuals(spark, sf_dir):
 SELECT event_id, arg_min(month, (abs(oni), month)) AS genesis FROM w GROUP BY 1""")
 def genesis_minimum(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "onset")
-    rows = oni(spark, sf_dir).where("oni is not null").join(F.broadcast(e), (F.col("month") < F.col("onset")) & (F.col("month") >= F.add_months("onset", -6)))
+    rows = ev.within_years(oni(spark, sf_dir).where("oni is not null"), "month", e, F.add_months("onset", -6), F.col("onset"))
+    rows = rows.where((F.col("month") < F.col("onset")) & (F.col("month") >= F.add_months("onset", -6)))
     return rows.groupBy("event_id").agg(F.min_by("month", F.struct(F.abs("oni"), F.col("month"))).alias("genesis"))
 
 
