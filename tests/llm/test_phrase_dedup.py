@@ -1,9 +1,12 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from thalweg.llm.phrase_dedup import kept_digest, remove_repeats, repeat_spans
+from thalweg.llm.phrase_dedup import dictionary, kept_digest, occurrences, phrases_of, remove_repeats, repeat_spans
+from thalweg.llm.words import covered, inside, split
 
 from .common import empty, frame, odd_texts, prose
 
@@ -53,3 +56,15 @@ def test_rows_and_columns_stay(spark):
 
 def test_empty(spark):
     assert repeat_spans(empty(spark)).count() == 0 and remove_repeats(empty(spark)).count() == 0
+
+
+def test_automaton_gives_the_positions():
+    """What is removed comes from the dictionary alone: without it nothing is found."""
+    words = split(pa.array([SHARED, f"{prose(1, 9)} {SHARED}", prose(2, 50), None, ""]))
+    starts = np.flatnonzero(inside(words, 35))
+    starts = starts[words.doc[starts] == 0]  # confirmed in the first text only
+    lines = dictionary(words, starts, 35)
+    assert lines.decode() == SHARED
+    gone = covered(*occurrences(words, phrases_of(words, lines)), len(words.codes))
+    assert gone[:60].all() and not gone[60:69].any() and gone[69:129].all() and not gone[129:].any()
+    assert not covered(*occurrences(words, phrases_of(words, b"")), len(words.codes)).any()

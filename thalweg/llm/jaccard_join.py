@@ -52,10 +52,10 @@ from pyspark.sql import functions as F
 from .bloom import bloom_of, passing
 from .components import connected_components, spanning
 from .shared import written
-from .words import MIX2, inside, scramble, slices, split, windows
+from .words import MIX2, give_back, inside, scramble, slices, split, windows
 
 #: Text bytes of a block of signatures.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 #: Least bytes that a row counts for in a block, so that the units of a block's sets fit in 16 bits.
 ROW = 128
 ROWS_AT_MOST = 1 << 15
@@ -67,7 +67,7 @@ FEW, MANY = 16, 20_000
 #: Words of bitmaps compared at once.
 PAIR_WORDS = 1 << 20
 #: Tokens verified in one task; components of more are verified as pairs of blocks of half that.
-TOKENS = 2_000_000
+TOKENS = 1_000_000
 
 
 def bands(p: int, most: int) -> np.ndarray:
@@ -249,6 +249,7 @@ def _read(table: pa.Table, column: str, kind: type) -> tuple[np.ndarray, np.ndar
 
 def meet(table: pa.Table) -> pa.Table:
     """A bucket's signatures that more than one set has, for each block, with their frequency and the group of sets; other rows as they are."""
+    give_back()
     kind = table.column("kind").to_numpy()
     out = [table.filter(pa.array(kind != 2))]
     table = table.filter(pa.array(kind == 2))
@@ -330,6 +331,7 @@ class Group:
 def join_groups(p: int):
     def run(table: pa.Table) -> pa.Table:
         """Of the groups of a bucket a spanning forest of the pairs that bitmaps don't rule out."""
+        give_back()
         group, rid = table.column("node").to_numpy(), table.column("rid").to_numpy()
         by = np.lexsort((rid, group))
         starts = np.flatnonzero(np.r_[True, group[by][1:] != group[by][:-1]])
@@ -373,6 +375,7 @@ def join_groups(p: int):
 def allocate(p: int):
     def run(table: pa.Table) -> pa.Table:
         """A block's texts (kind 0), and its sets with the groups that they keep (kind 4)."""
+        give_back()
         kind = table.column("kind").to_numpy()
         texts, asked, local = (table.filter(pa.array(kind == k)) for k in (0, 1, 3))
         if not asked.num_rows:
@@ -459,6 +462,7 @@ def similar_forest(tokens: np.ndarray, offsets: np.ndarray, p: int, part: np.nda
 
 def verify(p: int):
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         blobs = table.column("tokens").to_pylist()
         node = table.column("node").to_numpy()
         tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs])
@@ -490,7 +494,7 @@ def candidate_sets(docs: DataFrame, text_col: str, k: int, lower: bool, bloom: n
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, lower: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc, n, node) of every row, node null for empty sets; and a spanning forest (u, v) of links between different sets."""
     spark = docs.sparkSession
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(256, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = sign(docs, id_col, text_col, k, percent, lower, buckets).groupBy("bucket").applyInArrow(meet, ROWS)
     kept = written(met.groupBy("block").applyInArrow(allocate(percent), ROWS).select("kind", "rid", "doc", "n", "node", "bits"), "allocated")
     rows = kept.where("kind = 0").select("doc", "n", "rid", F.when(F.col("n") > 0, F.col("node")).alias("node"))

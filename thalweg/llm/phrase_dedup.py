@@ -36,11 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import MIX2, Words, covered, inside, split, windows
+from .words import MIX2, Words, covered, give_back, inside, split, windows
 
 WIDTH, GRAM = 35, 8
 #: Text bytes in a shard.
-SHARD = 6 << 20
+SHARD = 4 << 20
 
 
 def _least(x: np.ndarray, span: int, pick=np.minimum) -> np.ndarray:
@@ -180,6 +180,7 @@ def _scanned(docs: DataFrame, text_col: str, width: int, gram: int, finish, sche
     dealt = docs.select(shard, *docs.columns).repartition(parts, "shard")
 
     def text(table: pa.Table) -> Words:
+        give_back()
         return split(table.column(text_col).combine_chunks().cast(pa.large_string()))
 
     def nominate(table: pa.Table) -> pa.Table:
