@@ -1,6 +1,6 @@
 import corpus_pipeline
 
-from .common import frame, odd_texts, prose
+from .common import empty, frame, odd_texts, prose
 
 
 def test_stages(spark, tmp_path):
@@ -26,3 +26,9 @@ def test_stages(spark, tmp_path):
     assert n + 4 not in seen["test_leaks"] and len(seen["test_leaks"]) == len(seen["repeated_passages"]) - 1
     assert set(seen["packing"]) == set(seen["test_leaks"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_empty_tables(spark, tmp_path):
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
