@@ -34,3 +34,14 @@ def test_captures_against_brute_force(spark):
     assert by[None][0].record_type == "response" and by[8][0].payload_bytes == 200_000
     assert captures(pages.limit(0)).count() == 0
     assert {r.record_type for r in captures(pages, min_bytes=10**6).collect()} == {"response"}
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    from thalweg.llm import warc
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i} " + "x" * 20_000) for i in range(20)], SCHEMA).coalesce(1)
+    write_archives(pages, f"{tmp_path}/w")
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in Path(tmp_path, "w").glob("part*")]
+    assert len(sizes) >= 10 and max(sizes) < 60_000
+    assert assemble(read_archives(spark, f"{tmp_path}/w")).count() == 20

@@ -32,8 +32,8 @@ from .shared import shared_folder
 from .words import slices
 
 CRLF = "\r\n"
-#: Captures in an archive file.
-PER_FILE = 500
+#: Captures in an archive file at most, and payload bytes: with large pages a file has fewer captures (one at least).
+PER_FILE, FILE_BYTES = 500, 128 << 20
 KINDS = {"request": "1", "response": "2", "revisit": "2", "metadata": "3"}
 PARSED = "kind string, record_id string, concurrent_to string, refers_to string, url string, digest string, bytes long, payload binary, fields map<string,string>"
 
@@ -94,7 +94,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     fields = F.concat(*[F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit("")) for name, value in (("pageId", F.col("page_id")),)])
     told = _record("metadata", date, [("WARC-Record-ID", _uuid(F.col("rec"), KINDS["metadata"])), ("WARC-Concurrent-To", to), ("WARC-Target-URI", target), ("Content-Type", F.lit("application/warc-fields"))], fields, F.octet_length(fields))
     records = full.select(F.concat(asked, F.lit(CRLF), F.when(original, got).otherwise(again), F.lit(CRLF), told).alias("value"))
-    records.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    largest = pages.agg(F.max(F.octet_length(html_col))).first()[0] or 0
+    per_file = max(1, min(PER_FILE, FILE_BYTES // max(largest, 1)))
+    records.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
