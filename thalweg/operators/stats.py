@@ -214,8 +214,7 @@ def conditioned_correlations(df: DataFrame, keys: list[str], event: str, order:
     rows = rows.withColumn("_px", F.when(near, F.lag(x).over(w))).withColumn("_py", F.when(near, F.lag(y).over(w)))
     serial = lambda v, before: F.coalesce(F.nanvl(pearson(v, before), F.lit(None).cast("double")), F.lit(0.0))
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(event).alias("n_events"), F.when(F.count("*") >= least, pearson(x, y)).alias("r"), serial(x, "_px").alias("_ax"), serial(y, "_py").alias("_ay"))
-    both = F.col("_ax") * F.col("_ay")
-    return out.withColumn("n_eff", F.greatest(F.lit(3.0), F.least(F.col("n").cast("double"), F.try_divide(F.col("n") * (1 - both), F.nullif(1 + both, F.lit(0.0)))))).drop("_ax", "_ay")
+    return out.withColumn("n_eff", effective_n(F.col("n"), F.col("_ax"), F.col("_ay"))).drop("_ax", "_ay")
 
 
 def partial_correlation_of(df: DataFrame, keys: list[str], x: str, y: str, controls: list[str]) -> DataFrame:

@@ -180,11 +180,11 @@ def polygon_membership(spark, sf_dir):
 # ---- scalars
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_quantity / 3600.0, 9) AS watts, round(-l_tax / 3600.0, 9) AS flux, round(l_discount * 1000 * day(last_day(CAST(l_shipdate AS DATE))), 6) AS mm_month FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity / 3600.0, 9) AS watts, round((0 - l_tax) / 3600.0, 9) AS flux, round(l_discount * 1000 * day(last_day(CAST(l_shipdate AS DATE))), 6) AS mm_month FROM lineitem")
 def unit_conversions(spark, sf_dir):
     """Energy of an hour to a flux, an upward flux to a downward one, metres a day to millimetres a month."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") / 3600.0, 9).alias("watts"), F.round(-F.col("l_tax") / 3600.0, 9).alias("flux"), F.round(F.col("l_discount") * 1000 * F.day(F.last_day("l_shipdate")), 6).alias("mm_month"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") / 3600.0, 9).alias("watts"), F.round((0 - F.col("l_tax")) / 3600.0, 9).alias("flux"), F.round(F.col("l_discount") * 1000 * F.day(F.last_day("l_shipdate")), 6).alias("mm_month"))
 
 
 @query("SELECT c_custkey, least(greatest(c_acctbal, 0), 5000) AS clipped, abs(c_acctbal / 10000 - 0.5) <= 0.1 AS within FROM customer")
@@ -244,10 +244,10 @@ def pulses(spark, sf_dir):
 
 _SCAN = f"""{LAGGED}, ph AS (SELECT * FROM (WITH {PHASES} SELECT week_end, event_type, phase, coalesce(event_id, 'none') AS event_id FROM phases)), c AS (SELECT p.*, event_type, phase, event_id FROM pairs p JOIN ph USING (week_end)),
 a AS (SELECT *, lag(x) OVER w AS px, lag(v) OVER w AS pv, week_end - lag(week_end) OVER w AS gap FROM c WINDOW w AS (PARTITION BY pixel_id, lag, event_type, phase, event_id ORDER BY week_end)),
-g AS (SELECT pixel_id, lag, event_type, phase, count(*) AS n, count(DISTINCT event_id) AS n_events, corr(x, v) AS r, coalesce(corr(x, px) FILTER (gap = 7), 0) AS ax, coalesce(corr(v, pv) FILTER (gap = 7), 0) AS av FROM a GROUP BY ALL)"""
+g AS (SELECT pixel_id, lag, event_type, phase, count(*) AS n, count(DISTINCT event_id) AS n_events, corr(x, v) AS r, corr(x, px) FILTER (gap = 7) AS cx, corr(v, pv) FILTER (gap = 7) AS cv, CASE WHEN isfinite(cx) THEN cx ELSE 0 END AS ax, CASE WHEN isfinite(cv) THEN cv ELSE 0 END AS av FROM a GROUP BY ALL)"""
 
 
-@query(f"""WITH {_SCAN} SELECT pixel_id, lag, event_type, phase, n, n_events, round(CASE WHEN n >= 10 THEN r END, 6) AS r, round(greatest(3, least(n, n * (1 - ax * av) / nullif(1 + ax * av, 0))), 4) AS n_eff FROM g""")
+@query(f"""WITH {_SCAN} SELECT pixel_id, lag, event_type, phase, n, n_events, round(CASE WHEN n >= 10 THEN r END, 6) AS r, round(greatest(3, least(n, n * (1 - b) / (1 + b))), 4) AS n_eff FROM (SELECT *, greatest(-0.99::DOUBLE, least(0.99::DOUBLE, ax * av)) AS b FROM g)""")
 def conditioned_scan(spark, sf_dir):
     """Correlation of every cell, lag and phase at the source's time, with the effective size from steps inside events."""
     rows = lagged_pairs(spark, sf_dir).join(phase_table(spark, sf_dir).select("week_end", "event_type", "phase", F.coalesce("event_id", F.lit("none")).alias("event_id")), "week_end")
