@@ -33,15 +33,15 @@ def released(monthly: DataFrame, month: str, delay_days: int) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, on: tuple[str, ...], left_at: str, right_at: str, value: str, within: float) -> DataFrame:
     """Adds value and distance of the right row nearest in one coordinate, at most ``within`` away; the lower coordinate of two equally near.
 
-    Both sides are cut into cells of width ``within``, so only neighbouring cells meet.
+    Both sides are cut into cells of width ``within``, so only neighbouring cells meet. Left rows find their match by keys and coordinate:
+    a number given to a row would not be the same each time that the rows are read or computed.
     """
     cell = F.floor(F.col(left_at) / within)
-    l = left.withColumn("_id", F.monotonically_increasing_id())
-    near = l.select("_id", *on, left_at, F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+    near = left.select(*on, left_at, F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
     r = right.select(*on, F.col(right_at).alias("_at"), F.col(value).alias("_v")).withColumn("_cell", F.floor(F.col("_at") / within))
     gap = F.abs(F.col("_at") - F.col(left_at))
-    best = near.join(r, [*on, "_cell"]).where(gap <= within).groupBy("_id").agg(F.min(F.struct(gap.alias("distance"), F.col("_at"), F.col("_v"))).alias("b"))
-    return l.join(best, "_id", "left").select(*left.columns, F.col("b._v").alias(value), F.col("b.distance").alias("distance"))
+    best = near.join(r, [*on, "_cell"]).where(gap <= within).groupBy(*on, left_at).agg(F.min(F.struct(gap.alias("distance"), F.col("_at"), F.col("_v"))).alias("_b"))
+    return left.join(best, [*on, left_at], "left").select(*left.columns, F.col("_b._v").alias(value), F.col("_b.distance").alias("distance"))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, priority: Column) -> DataFrame:
