@@ -3,8 +3,9 @@
 import datetime as dt
 
 import duckdb
+import pytest
 
-from thalweg.operators import joins
+from thalweg.operators import events, joins
 from thalweg.plans import registry
 
 
@@ -44,3 +45,15 @@ def test_folds_of_two_events_with_one_identifier(spark, tmp_path):
     assert len({r[0] for r in want}) < len(want)
     got = registry.QUERIES["event_folds"](spark, str(tmp_path)).select("event_id", "n_train", "fold").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_of_a_shared_identifiers_bands_the_later_holds(spark, ascending):
+    d = dt.date
+    rows = [("cold_2000", "cold", d(2000, 1, 1), d(2000, 2, 1), d(2000, 4, 1)), ("cold_2000", "cold", d(2000, 6, 1), d(2000, 7, 1), d(2000, 8, 1))]
+    e = spark.createDataFrame(rows, "event_id string, event_type string, onset date, peak_time date, `end` date")
+    bands = spark.createDataFrame([("cold_2000", d(2000, 2, 1), d(2000, 2, 29)), ("cold_2000", d(2000, 6, 1), d(2000, 7, 31))], "event_id string, peak_band_start date, peak_band_end date")
+    bands = bands.repartition(1).sortWithinPartitions("peak_band_start", ascending=ascending)
+    weeks = spark.createDataFrame([(d(2000, 2, 13),), (d(2000, 3, 19),), (d(2000, 7, 9),), (d(2000, 8, 20),)], "week_end date")
+    for some in (e, e.coalesce(1)):
+        assert [r.phase for r in events.lifecycle(weeks, some, bands).orderBy("week_end").collect()] == ["growth", "growth", "peak", "decay"]

@@ -42,13 +42,14 @@ def peak_band(events: DataFrame, series: DataFrame, fraction: float, value: str
 def lifecycle(weeks: DataFrame, events: DataFrame, bands: DataFrame, week: str = "week_end", genesis_weeks: int = 26) -> DataFrame:
     """(week, event_type, phase, event_id, weeks_from_peak): growth, peak and decay inside an event, genesis before it where nothing else is.
 
-    Where events overlap, the one of later onset holds the week; of genesis windows, that of the nearest onset.
+    Where events overlap, the one of later onset holds the week; of genesis windows, that of the nearest onset. Events that share an
+    identifier (two of a type with the same years) share their bands too, of which the later holds.
     """
     e = events.join(bands, "event_id").withColumn("close", F.last_day("end"))
     inside = (F.col(week) >= F.col("onset")) & (F.col(week) <= F.col("close"))
     before = (F.col(week) < F.col("onset")) & (F.col(week) >= F.date_sub("onset", 7 * genesis_weeks))
     phase = F.when(before, "genesis").when(F.col(week) < F.col("peak_band_start"), "growth").when(F.col(week) <= F.col("peak_band_end"), "peak").otherwise("decay")
-    rank = F.struct(inside.cast("int").alias("active"), F.when(inside, F.datediff("onset", F.lit("1970-01-01"))).otherwise(-F.datediff("onset", F.lit("1970-01-01"))).alias("order"))
+    rank = F.struct(inside.cast("int").alias("active"), F.when(inside, F.datediff("onset", F.lit("1970-01-01"))).otherwise(-F.datediff("onset", F.lit("1970-01-01"))).alias("order"), "peak_band_start")
     hit = within_years(weeks.select(week), week, e, F.date_sub("onset", 7 * genesis_weeks), F.col("close")).where(inside | before).groupBy(week)
     held = hit.agg(F.max_by(F.struct("event_type", phase.alias("phase"), "event_id", F.floor(F.datediff(week, "peak_time") / 7).alias("weeks_from_peak")), rank).alias("h"))
     out = weeks.select(week).distinct().join(held, week, "left")
