@@ -1,8 +1,10 @@
-"""Toxicity from two class-conditional Kneser-Ney language models.
+"""Toxicity from class-conditional Kneser-Ney language models.
 
 The texts that have a word or a word pair are counted for toxic and ordinary
-labelled texts apart (a text that repeats itself counts once). Both classes'
-models are interpolated with absolute discounts:
+labelled texts apart (a text that repeats itself counts once). Two pairs of models
+are read from these counts: of the whole vocabulary (``kneser_ney``), where every
+rare word and pair is smoothed through the shared lower order, and of a lexicon.
+Both classes' models are interpolated with absolute discounts, in the lexicon's:
 
     P(w | h) = max(c(h, w) - D, 0) / c(h) + rest(h) * P(w)
     P(w)     = max(c(w) - D, 0) / N + rest * S(w)
@@ -11,18 +13,19 @@ where S, the number of different words that w follows in both classes together,
 is shared. What the labels do not tell apart is smoothed alike in both models: a
 word or pair is an expression of its own if its toxic count is ``APART`` standard
 deviations from the one expected and its odds differ by ``ODDS`` or more; all other
-words are one common word. (Otherwise a text's language or subject, which differ a
-little between the classes over all its words, outweighs a few toxic ones.) The
+words are one common word here, and stand for themselves in the whole vocabulary's
+models. (In the latter alone a text's language or subject, which differ a little
+between the classes over all its words, outweigh a few toxic ones.) The
 thresholds are the same for every size of input, and the number of expressions is
 not bounded: words and pairs with their probabilities are tables, to which a
 text's words are joined. A Bloom filter of fixed size keeps most common words out
 of that join, which only spares work. The counts cover all labelled texts and are
 made by packed partial counts.
 
-A text's log-likelihood ratio is normalised by its length, by n and by the root of
-n. Logistic regression on a part of the labelled texts that was not counted (fold
-1 of the identifiers' crc32) turns both into a score; it takes at most ``DEV``
-texts, those of lowest hash.
+A text's two log-likelihood ratios, of the lexicon and of the whole vocabulary, are
+normalised by its length, by n and by the root of n. Logistic regression on a part
+of the labelled texts that was not counted (fold 1 of the identifiers' crc32) turns
+them into a score; it takes at most ``DEV`` texts, those of lowest hash.
 
 Results for the odd cases: null, empty and blank texts have the ratio 0 and the
 score that it stands for; without labelled texts of both classes every score is
@@ -43,6 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, passing
+from .kneser_ney import WholeModel, fit_whole, whole_ratios
 from .shared import written
 from .words import MIX2, Words, slices, split
 
@@ -51,6 +55,8 @@ DEV = 20_000
 BLOCK = 4 << 20
 #: The common word, among hashes of words.
 COMMON = 0
+#: Buckets of words in which the whole vocabulary's counts meet; the counts' own are a multiple.
+WORDS_IN = 64
 
 
 class ToxicityModel(NamedTuple):
@@ -59,7 +65,8 @@ class ToxicityModel(NamedTuple):
     passing: np.ndarray  #: Bloom filter of the words
     common: tuple[float, float, float, float]  #: as in words, of the common word
     alone: tuple[float, float]  #: log ratio of the common word after itself, and as the first of a text
-    weights: np.ndarray  #: of LLR / n, of LLR / sqrt(n), and the constant
+    weights: np.ndarray  #: of LLR / n and LLR / sqrt(n) of the lexicon, of both of the whole vocabulary, and the constant
+    whole: WholeModel | None = None  #: models of every word and pair
 
 
 def fold_of(id_col: Column, folds: int = 5) -> Column:
@@ -216,7 +223,7 @@ def estimate(lexicon: DataFrame, bits: np.ndarray, pairs: DataFrame, totals: tup
     common = (cuts[0] + left[0] * base0, cuts[1] + left[1] * base0, *(min(1.0, max(1e-6, 1 - x)) for x in ((r.rt, r.rp) if r else (0.0, 0.0))))
     q = kept.where((F.col("h") == COMMON) & (F.col("w") == COMMON)).first()
     again = math.log((common[0] * common[2] + (q.toxic_part if q else 0)) / (common[1] * common[3] + (q.plain_part if q else 0)))
-    return ToxicityModel(written(words, "words"), kept, bits, common, (again, math.log(common[0] / common[1])), np.zeros(3))
+    return ToxicityModel(written(words, "words"), kept, bits, common, (again, math.log(common[0] / common[1])), np.zeros(5))
 
 
 def ratios(texts: DataFrame, m: ToxicityModel) -> DataFrame:
@@ -229,10 +236,18 @@ def ratios(texts: DataFrame, m: ToxicityModel) -> DataFrame:
     return out.withColumn("ratio", F.coalesce("_r", F.lit(0.0)) + common).drop("_r", "_k", "_f")
 
 
-def normalised(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(texts, 3): by length, by its root, and 1."""
+def both_ratios(rows: DataFrame, m: ToxicityModel) -> DataFrame:
+    """Adds n, ratio and whole, the log-likelihood ratios of the lexicon and of the whole vocabulary, to ``rows`` with a text; it is left out."""
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    whole = whole_ratios(rows, m.whole).withColumnRenamed("whole", "_w")
+    out = ratios(candidates(rows, m.passing), m).join(whole, "th")
+    return out.withColumn("whole", F.col("_w") + F.col("n") * m.whole.unknown).drop("_w", "th")
+
+
+def normalised(ratio: np.ndarray, whole: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(texts, 5): both by length and by its root, and 1."""
     n = np.maximum(n, 1)
-    return np.stack([ratio / n, ratio / np.sqrt(n), np.ones(len(n))], axis=1)
+    return np.stack([ratio / n, ratio / np.sqrt(n), whole / n, whole / np.sqrt(n), np.ones(len(n))], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -254,7 +269,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
     """Model of the labelled texts outside fold 0; None if one of the classes has no word."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = WORDS_IN * math.ceil(4 * int(spark.conf.get("spark.sql.shuffle.partitions")) / WORDS_IN)
     rows = labelled(docs, labels, id_col, text_col, label_col)
     counted = rows.where("fold <> 1")
     words = word_counts(counted, buckets)
@@ -269,15 +284,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     share = total.t / (total.t + total.p)
     lexicon = written(unpacked(words, share), "lexicon")
     bits = bloom_of(lexicon.select("w"))
-    texts = candidates(rows, bits)
-    model = estimate(lexicon, bits, pair_counts(texts.where("fold <> 1"), lexicon), (total.t, total.p), share)
-    dev = texts.where("fold = 1").orderBy(F.xxhash64("i"), "i").select("i").limit(DEV)
-    got = ratios(texts.where("fold = 1").join(dev.distinct(), "i"), model).select(F.col("ratio").alias("r"), "n", F.col("toxic").alias("y")).toArrow()
+    texts = candidates(counted, bits)
+    model = estimate(lexicon, bits, pair_counts(texts, lexicon), (total.t, total.p), share)._replace(whole=fit_whole(counted, words, WORDS_IN))
+    dev = rows.where("fold = 1").orderBy(F.xxhash64("i"), "i").select("i").limit(DEV)
+    got = both_ratios(rows.where("fold = 1").join(F.broadcast(dev.distinct()), "i").select("i", "toxic", "text"), model).select("ratio", "whole", "n", F.col("toxic").alias("y")).toArrow()
     y = got.column("y").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        weights = logistic(normalised(got.column("r").to_numpy(), got.column("n").to_numpy()), y)
-    else:  # one class only: the ratio by the root of the length as it is
-        weights = np.array([0.0, 1.0, -1.0])
+        weights = logistic(normalised(*(got.column(c).to_numpy() for c in ("ratio", "whole", "n"))), y)
+    else:  # one class only: the lexicon's ratio by the root of the length as it is
+        weights = np.array([0.0, 1.0, 0.0, 0.0, -1.0])
     return model._replace(weights=weights)
 
 
@@ -286,10 +301,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     held = F.coalesce(fold_of(F.col(id_col)) == 0, F.lit(False)).alias("held_out")
     if model is None:
         return docs.select(id_col, held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    texts = candidates(docs.select(F.col(id_col).alias("i"), held, F.col(text_col).alias("text")), model.passing)
-    a, b, c = map(float, model.weights)
+    rows = docs.select(F.col(id_col).alias("i"), held, F.col(text_col).alias("text"))
+    a, b, c, d, e = map(float, model.weights)
     n = F.greatest("n", F.lit(1))
-    x = F.col("ratio") / n * a + F.col("ratio") / F.sqrt(n) * b + c
+    x = F.col("ratio") / n * a + F.col("ratio") / F.sqrt(n) * b + F.col("whole") / n * c + F.col("whole") / F.sqrt(n) * d + e
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x))))
-    out = ratios(texts, model).select(F.col("i").alias(id_col), "held_out", score.alias("score"))
+    out = both_ratios(rows, model).select(F.col("i").alias(id_col), "held_out", score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
