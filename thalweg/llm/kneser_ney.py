@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom_of, passing
 from .shared import written
-from .words import MIX1, MIX2, Words, scramble, slices, split
+from .words import MIX1, MIX2, Words, give_back, scramble, slices, split
 
 D1, D2 = 0.75, 1.0
 BLOCK = 4 << 20
 #: Ranges of keys in which words and pairs meet. Each block of texts gets a number a text from each.
-RANGES = 48
+RANGES = 32
 #: Values at hand for every block; the others are met by range.
-OFTEN = 1 << 20
+OFTEN = 1 << 18
 
 
 class WholeModel(NamedTuple):
@@ -142,6 +142,7 @@ def partial_pairs(rows: DataFrame, buckets: int) -> DataFrame:
                     | {"n_w": len(ends), "w": packed_sorted(ends), "n": j - i, "at": packed(places.astype(np.uint32)), "toxic": packed(t[i:j]), "plain": packed(p[i:j])}
                 )
             yield batch(out, fields(PAIRS))
+            give_back()
 
     return rows.select("text", "toxic").mapInArrow(run, PAIRS)
 
@@ -174,19 +175,22 @@ def pair_parts(rows: DataFrame, buckets: int, words_in: int) -> DataFrame:
         ends, follows = np.unique(w, return_counts=True)
         out = []
 
-        def put(kind: int, k: np.ndarray, x: np.ndarray, dealt: np.ndarray, w: np.ndarray | None = None) -> None:
+        def put(kind: int, k: np.ndarray, x: np.ndarray, dealt: np.ndarray) -> None:
             to = spread(dealt, words_in)
             order = np.argsort(to, kind="stable")
             for bucket, i, j in spans(to[order]):
                 on = order[i:j]
-                out.append({"kind": kind, "bucket": bucket, "n": len(on), "total": int(x[on].sum()) if kind == 2 else len(on), "k": packed_sorted(k[on]), "w": packed(w[on]) if w is not None else b"", "x": packed(x[on].T.ravel())})
+                out.append({"kind": kind, "bucket": bucket, "n": len(on), "total": int(x[on].sum()) if kind == 2 else len(on), "k": packed_sorted(k[on]), "w": b"", "x": packed(x[on].T.ravel())})
+                if kind == 3:  # its second words once, and their places among these
+                    words, at = np.unique(dealt[on], return_inverse=True)
+                    out[-1] |= {"total": len(words), "w": packed_sorted(words), "x": packed(np.r_[x[on].T.ravel(), at.astype(np.uint32)])}
 
         b = np.log(left_by(after[0], kinds[0]) / left_by(after[1], kinds[1]))
         on = b != 0
         put(1, contexts[on], b[on], contexts[on])
         put(2, ends, follows.astype(np.uint32), ends)
         own = (t > D2) | (p > D2)
-        put(3, key[own], np.stack([t, p, *(x[of] for x in (*after, *kinds))], axis=1)[own].astype(np.uint32), w[own], w[own])
+        put(3, key[own], np.stack([t, p, *(x[of] for x in (*after, *kinds))], axis=1)[own].astype(np.uint32), w[own])
         return pa.Table.from_batches([batch(out, fields(PARTS))])
 
     return written(partial_pairs(rows, buckets).groupBy("bucket").applyInArrow(merge, PARTS), "pair-parts")
@@ -217,7 +221,7 @@ def fit_whole(rows: DataFrame, words: DataFrame, words_in: int) -> WholeModel:
     total = words.select("toxic", "plain").mapInArrow(sums, "t long, p long, lt double, lp double, v long").groupBy().sum().toDF("t", "p", "lt", "lp", "v").first()
     left = (total.lt / total.t, total.lp / total.p)
     unknown = math.log(left[0] / left[1])
-    parts = pair_parts(rows, int(spark.conf.get("spark.sql.shuffle.partitions")), words_in)
+    parts = pair_parts(rows, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / 2), words_in)
     counts = {r.kind: r.total for r in parts.groupBy("kind").agg(F.sum("total").alias("total")).collect()}
     shared = counts.get(2, 0) + 0.5 * (total.v + 1)
 
@@ -227,7 +231,8 @@ def fit_whole(rows: DataFrame, words: DataFrame, words_in: int) -> WholeModel:
             if r["kind"] == 0:
                 got[0].append((np.frombuffer(r["k"], np.uint64), np.frombuffer(r["w"], np.uint32), np.frombuffer(r["x"], np.uint32)))
             else:
-                got[r["kind"]].append((read_sorted(r["k"], r["n"]), read(r["w"], r["n"], np.uint64) if r["kind"] == 3 else None, read(r["x"], r["n"] * (6 if r["kind"] == 3 else 1), np.float64 if r["kind"] == 1 else np.uint32).reshape(-1, r["n"]).T))
+                x = read(r["x"], r["n"] * (7 if r["kind"] == 3 else 1), np.float64 if r["kind"] == 1 else np.uint32).reshape(-1, r["n"]).T
+                got[r["kind"]].append((read_sorted(r["k"], r["n"]), read_sorted(r["w"], r["total"])[x[:, 6]] if r["kind"] == 3 else None, x[:, :6]))
         column = lambda kind, i, empty=np.uint64: np.concatenate([x[i] for x in got[kind]]) if got[kind] else np.zeros(0, empty)
         keys = column(0, 0)
         by = np.argsort(keys)
@@ -307,6 +312,7 @@ def asked(rows: DataFrame, model: WholeModel) -> DataFrame:
                     out.append({"kind": 1, "bucket": bucket, "block": block, "texts": b.num_rows, "n": j - i, "m": y - x, "k": packed_sorted(every[i:j]), "u": packed_sorted((u[x:y] - i * m).astype(np.uint64)), "c": packed(c[x:y].astype(np.uint32))})
             out[0]["u"] = sums.tobytes()
             yield batch(out, fields(ASKED))
+            give_back()
 
     return rows.select("th", "text").mapInArrow(run, ASKED)
 
@@ -335,7 +341,7 @@ def whole_ratios(rows: DataFrame, model: WholeModel) -> DataFrame:
                 m = r["texts"]
                 own = looked_up(keys, values, read_sorted(r["k"], r["n"]), 0.0)
                 u, c = read_sorted(r["u"], r["m"]).astype(np.int64), read(r["c"], r["m"], np.uint32)
-                out.append({"block": r["block"], "bucket": held, "sums": np.bincount(u % m, own[u // m] * c, m).astype(np.float32).tobytes()})
+                out.append({"block": r["block"], "bucket": held, "sums": packed(np.bincount(u % m, own[u // m] * c, m).astype(np.float32))})
             yield batch(out, [("block", pa.int64()), ("bucket", pa.int32()), ("sums", pa.binary())])
 
     def add(table: pa.Table) -> pa.Table:
@@ -343,7 +349,7 @@ def whole_ratios(rows: DataFrame, model: WholeModel) -> DataFrame:
         th, first, *rest = table.column("sums").to_pylist()  # the texts' hashes, the frequent values' sums, then every range's
         th, sums = np.frombuffer(th, np.int64), np.frombuffer(first, np.float64).copy()
         for x in rest:
-            sums += np.frombuffer(x, np.float32)
+            sums += read(x, len(th), np.float32)
         return pa.table({"th": th, "whole": sums})
 
     none = F.lit(None).cast("binary")

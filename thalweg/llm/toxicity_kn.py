@@ -87,7 +87,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     kind = rows.schema["i"].dataType.simpleString()
     rows = rows.mapInArrow(run, f"i {kind}, text string")
     # labels grow with the documents, so they are merged at every size and never broadcast
-    return written(rows.join(marks.hint("merge"), "i").select("i", "text", "toxic", fold_of(F.col("i")).cast("int").alias("fold")), "labelled")
+    return written(rows.join(marks.hint("merge"), "i").select("i", "text", "toxic", fold_of(F.col("i")).cast("int").alias("fold")), "labelled", "zstd")
 
 
 COUNTS = "bucket int, keys binary, toxic binary, plain binary"
