@@ -36,9 +36,11 @@ from .shared import written
 from .words import MIX1, MIX2, Words, give_back, scramble, slices, split
 
 D1, D2 = 0.75, 1.0
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Ranges of keys in which words and pairs meet. Each block of texts gets a number a text from each.
 RANGES = 32
+#: Bits of a hash that a block of texts doesn't send; 56 are compared.
+UNSENT = np.uint64(8)
 #: Values at hand for every block; the others are met by range.
 OFTEN = 1 << 18
 
@@ -309,7 +311,7 @@ def asked(rows: DataFrame, model: WholeModel) -> DataFrame:
                 cuts = spans(range_of(every, RANGES))
                 ends = [0, *np.searchsorted(u, [j * m for _, _, j in cuts]).tolist()]
                 for (bucket, i, j), x, y in zip(cuts, ends, ends[1:], strict=False):
-                    out.append({"kind": 1, "bucket": bucket, "block": block, "texts": b.num_rows, "n": j - i, "m": y - x, "k": packed_sorted(every[i:j]), "u": packed_sorted((u[x:y] - i * m).astype(np.uint64)), "c": packed(c[x:y].astype(np.uint32))})
+                    out.append({"kind": 1, "bucket": bucket, "block": block, "texts": b.num_rows, "n": j - i, "m": y - x, "k": packed_sorted(every[i:j] >> UNSENT), "u": packed_sorted((u[x:y] - i * m).astype(np.uint64)), "c": packed(c[x:y].astype(np.uint32))})
             out[0]["u"] = sums.tobytes()
             yield batch(out, fields(ASKED))
             give_back()
@@ -337,7 +339,7 @@ def whole_ratios(rows: DataFrame, model: WholeModel) -> DataFrame:
                     keys = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in parts)])
                     values = np.concatenate([np.zeros(0, np.float32), *(x for _, x in parts)]).astype(np.float64)
                     by = np.argsort(keys)
-                    keys, values, parts = keys[by], values[by], []
+                    keys, values, parts = keys[by] >> UNSENT, values[by], []
                 m = r["texts"]
                 own = looked_up(keys, values, read_sorted(r["k"], r["n"]), 0.0)
                 u, c = read_sorted(r["u"], r["m"]).astype(np.int64), read(r["c"], r["m"], np.uint32)
