@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, passing
-from .shared import written
+from .shared import discard, written
 from .words import MIX1, MIX2, Words, give_back, scramble, slices, split
 
 D1, D2 = 0.75, 1.0
@@ -266,6 +266,7 @@ def fit_whole(rows: DataFrame, words: DataFrame, words_in: int) -> WholeModel:
     zero = F.lit(0).cast("long")
     every = words.select(F.lit(0).alias("kind"), (F.col("bucket") % words_in).alias("bucket"), zero.alias("n"), zero.alias("total"), F.col("keys").alias("k"), F.col("toxic").alias("w"), F.col("plain").alias("x"))
     values = written(every.unionByName(parts).groupBy("bucket").applyInArrow(value, VALUES), "values")
+    discard(parts)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,14 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``written`` gave. Nothing that is still to be read may need it: its readers are themselves written or collected."""
+    spark = table.sparkSession
+    hadoop, uri = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.java.net.URI
+    for top in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        folder = hadoop(uri(top))
+        if not re.search("-[0-9a-f]{32}$", folder.getName()):
+            raise ValueError(f"{folder} was not made by written")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -20,7 +20,8 @@ thresholds are the same for every size of input, and the number of expressions i
 not bounded: words and pairs with their probabilities are tables, to which a
 text's words are joined. A Bloom filter of fixed size keeps most common words out
 of that join, which only spares work. The counts cover all labelled texts and are
-made by packed partial counts.
+made by packed partial counts. Tables that only the fit reads are deleted as soon as
+what reads them is written, for they would fill the disk while the texts are scored.
 
 A text's two log-likelihood ratios, of the lexicon and of the whole vocabulary, are
 normalised by its length, by n and by the root of n. Logistic regression on a part
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom_of, passing
 from .kneser_ney import WholeModel, fit_whole, whole_ratios
-from .shared import written
+from .shared import discard, written
 from .words import MIX2, Words, slices, split
 
 DISCOUNT, APART, ODDS = 0.75, 4.0, 4.0
@@ -280,14 +281,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     total = words.select("toxic", "plain").mapInArrow(sums, "t long, p long").agg(F.sum("t").alias("t"), F.sum("p").alias("p")).first()
     if not total.t or not total.p:
+        discard(words)
+        discard(rows)
         return None
     share = total.t / (total.t + total.p)
     lexicon = written(unpacked(words, share), "lexicon")
     bits = bloom_of(lexicon.select("w"))
     texts = candidates(counted, bits)
-    model = estimate(lexicon, bits, pair_counts(texts, lexicon), (total.t, total.p), share)._replace(whole=fit_whole(counted, words, WORDS_IN))
+    pairs = pair_counts(texts, lexicon)
+    discard(texts)
+    model = estimate(lexicon, bits, pairs, (total.t, total.p), share)
+    discard(pairs)
+    discard(lexicon)
+    model = model._replace(whole=fit_whole(counted, words, WORDS_IN))
+    discard(words)
     dev = rows.where("fold = 1").orderBy(F.xxhash64("i"), "i").select("i").limit(DEV)
     got = both_ratios(rows.where("fold = 1").join(F.broadcast(dev.distinct()), "i").select("i", "toxic", "text"), model).select("ratio", "whole", "n", F.col("toxic").alias("y")).toArrow()
+    discard(rows)
     y = got.column("y").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         weights = logistic(normalised(*(got.column(c).to_numpy() for c in ("ratio", "whole", "n"))), y)
